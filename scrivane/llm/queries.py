@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scrivane.llm.packing import pack_texts
+from scrivane.llm.shared_spans import SharedSpans
 from scrivane.llm.site_lines import repeated_lines, without_lines
 from scrivane.llm.top_items import top_items
 from scrivane.session import table
@@ -32,7 +34,24 @@ def p5_cleaned_texts(spark: SparkSession, d: str) -> DataFrame:
     return without_lines(texts, "scan_id", "text", repeated_lines(texts, "scan_id", "domain", "text")).select("scan_id", F.md5("text").alias("text_md5"), F.length("text").alias("n_chars"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p5_found, p5_cleaned_texts)}
+#: A parameter of the queries: the rank file of a public byte-level vocabulary.
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
+
+def p8_packed(spark: SparkSession, d: str) -> DataFrame:
+    kinds = {r[0]: r[1] for r in table(spark, d, "container_sizes").select("container", "capacity_tokens").limit(1000).collect()}
+    return pack_texts(table(spark, d, "documents"), "doc_id", "text", kinds, VOCABULARY).withColumnRenamed("doc", "doc_id")
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return SharedSpans(table(spark, d, "documents"), "doc_id", "text").pairs().select(F.col("doc_a").alias("doc_id_a"), F.col("doc_b").alias("doc_id_b"))
+
+
+def p10_coverage(spark: SparkSession, d: str) -> DataFrame:
+    return SharedSpans(table(spark, d, "documents"), "doc_id", "text").coverage().withColumnRenamed("doc", "doc_id")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p5_found, p5_cleaned_texts, p8_packed, p10_found, p10_coverage)}
 
 _LINES = r"""
     docs as (select f.scan_id, s.domain, f.text from fetch_results f join (select distinct id, domain from scans) s on s.id = f.scan_id where f.text is not null),
