@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scrivane.llm.eval_leaks import leaked_items
 from scrivane.llm.packing import pack_texts
 from scrivane.llm.shared_spans import SharedSpans
 from scrivane.llm.site_lines import repeated_lines, without_lines
@@ -43,6 +44,11 @@ def p8_packed(spark: SparkSession, d: str) -> DataFrame:
     return pack_texts(table(spark, d, "documents"), "doc_id", "text", kinds, VOCABULARY).withColumnRenamed("doc", "doc_id")
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    leaks = leaked_items(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "text")
+    return leaks.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"))
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return SharedSpans(table(spark, d, "documents"), "doc_id", "text").pairs().select(F.col("doc_a").alias("doc_id_a"), F.col("doc_b").alias("doc_id_b"))
 
@@ -51,7 +57,7 @@ def p10_coverage(spark: SparkSession, d: str) -> DataFrame:
     return SharedSpans(table(spark, d, "documents"), "doc_id", "text").coverage().withColumnRenamed("doc", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p5_found, p5_cleaned_texts, p8_packed, p10_found, p10_coverage)}
+QUERIES = {f.__name__: f for f in (p1_found, p5_found, p5_cleaned_texts, p8_packed, p9_found, p10_found, p10_coverage)}
 
 _LINES = r"""
     docs as (select f.scan_id, s.domain, f.text from fetch_results f join (select distinct id, domain from scans) s on s.id = f.scan_id where f.text is not null),
