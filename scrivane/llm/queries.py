@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from scrivane.llm.eval_leaks import leaked_items
 from scrivane.llm.packing import pack_texts
+from scrivane.llm.percentiles import merge_summaries, percentiles, read_summary, summary
 from scrivane.llm.shared_spans import SharedSpans
 from scrivane.llm.site_lines import repeated_lines, without_lines
 from scrivane.llm.top_items import top_items
@@ -35,6 +36,26 @@ def p5_cleaned_texts(spark: SparkSession, d: str) -> DataFrame:
     return without_lines(texts, "scan_id", "text", repeated_lines(texts, "scan_id", "domain", "text")).select("scan_id", F.md5("text").alias("text_md5"), F.length("text").alias("n_chars"))
 
 
+_QUANTILES = {"p10": 0.1, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p90": 0.9, "p99": 0.99}
+
+
+def p7_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    """norm_score per pattern and score per domain; a scan that was delivered twice counts once."""
+    columns = [F.col("values")[i].alias(n) for i, n in enumerate(_QUANTILES)]
+    scans = table(spark, d, "scans").select("id", "domain", "score").dropDuplicates(["id"])
+    a = percentiles(table(spark, d, "pattern_scores"), "pattern_id", "norm_score", list(_QUANTILES.values()))
+    b = percentiles(scans, "domain", "score", list(_QUANTILES.values()))
+    return a.select(F.lit("norm_score").alias("field_name"), "group", "n", *columns).unionByName(b.select(F.lit("score").alias("field_name"), "group", "n", *columns))
+
+
+def p7_merged_loads(spark: SparkSession, d: str) -> DataFrame:
+    """Summaries of two separate loads of pattern_scores (scans with even and odd numbers), merged, and what is read from them."""
+    scores = table(spark, d, "pattern_scores")
+    loads = [summary(scores.filter(F.pmod("scan_id", F.lit(2)) == k), "pattern_id", "norm_score", 200) for k in (0, 1)]
+    merged = read_summary(merge_summaries(loads[0].unionByName(loads[1])), list(_QUANTILES.values()))
+    return merged.select("group", "n", *(F.col("values")[i].alias(n) for i, n in enumerate(_QUANTILES)))
+
+
 #: A parameter of the queries: the rank file of a public byte-level vocabulary.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
@@ -57,7 +78,7 @@ def p10_coverage(spark: SparkSession, d: str) -> DataFrame:
     return SharedSpans(table(spark, d, "documents"), "doc_id", "text").coverage().withColumnRenamed("doc", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p5_found, p5_cleaned_texts, p8_packed, p9_found, p10_found, p10_coverage)}
+QUERIES = {f.__name__: f for f in (p1_found, p5_found, p5_cleaned_texts, p7_percentiles, p7_merged_loads, p8_packed, p9_found, p10_found, p10_coverage)}
 
 _LINES = r"""
     docs as (select f.scan_id, s.domain, f.text from fetch_results f join (select distinct id, domain from scans) s on s.id = f.scan_id where f.text is not null),
@@ -71,6 +92,10 @@ SQL = {
     "p1_found": """select domain, scan_id from (select domain, id as scan_id, row_number() over (partition by domain order by score desc, id) as n
         from (select distinct id, domain, score from scans) where domain <> '' and score is not null) where n <= 5""",
     "p5_found": f"with {_LINES} select scan_id, line_no from hits",
+    "p7_percentiles": "with v as (select 'norm_score' as field_name, pattern_id as grp, norm_score as v from pattern_scores where norm_score is not null and not isnan(norm_score) union all "
+    "select 'score', domain, cast(score as double) from (select distinct id, domain, score from scans) where score is not null and domain is not null), "
+    "o as (select *, row_number() over (partition by field_name, grp order by v) as r, count(*) over (partition by field_name, grp) as n from v) "
+    "select field_name, grp as \"group\", n, " + ", ".join(f"max(v) filter (where r = greatest(1, cast(ceil(round({q} * n, 9)) as bigint))) as {name}" for name, q in _QUANTILES.items()) + " from o group by all",
     "p5_cleaned_texts": f"""with {_LINES}, kept as (select scan_id, string_agg(line, chr(10) order by line_no) as t from same s where not exists (select 1 from hits h where h.scan_id = s.scan_id and h.line_no = s.line_no) group by scan_id)
         select d.scan_id, md5(coalesce(k.t, '')) as text_md5, cast(length(coalesce(k.t, '')) as int) as n_chars from docs d left join kept k using (scan_id)""",
 }
