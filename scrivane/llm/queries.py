@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scrivane.llm.eval_leaks import leaked_items
+from scrivane.llm.main_body import furniture_lines
 from scrivane.llm.packing import pack_texts
 from scrivane.llm.percentiles import merge_summaries, percentiles, read_summary, summary
 from scrivane.llm.shared_spans import SharedSpans
@@ -27,6 +28,11 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return top_items(scans, "domain", "score", "id", 5).select(F.col("group").alias("domain"), F.col("item").alias("scan_id"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    names = table(spark, d, "scans").select(F.col("id").alias("scan_id"), "domain", "title").dropDuplicates(["scan_id"])
+    return furniture_lines(table(spark, d, "fetch_results"), "scan_id", "domain", "title", "text", "raw_html", names).select(F.col("scan").alias("scan_id"), "line_no")
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return repeated_lines(site_texts(spark, d), "scan_id", "domain", "text").select(F.col("doc").alias("scan_id"), "line_no")
 
@@ -78,7 +84,7 @@ def p10_coverage(spark: SparkSession, d: str) -> DataFrame:
     return SharedSpans(table(spark, d, "documents"), "doc_id", "text").coverage().withColumnRenamed("doc", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p5_found, p5_cleaned_texts, p7_percentiles, p7_merged_loads, p8_packed, p9_found, p10_found, p10_coverage)}
+QUERIES = {f.__name__: f for f in (p1_found, p4_found, p5_found, p5_cleaned_texts, p7_percentiles, p7_merged_loads, p8_packed, p9_found, p10_found, p10_coverage)}
 
 _LINES = r"""
     docs as (select f.scan_id, s.domain, f.text from fetch_results f join (select distinct id, domain from scans) s on s.id = f.scan_id where f.text is not null),
