@@ -11,6 +11,7 @@ from scrivane.llm.packing import pack_texts
 from scrivane.llm.percentiles import merge_summaries, percentiles, read_summary, summary
 from scrivane.llm.shared_spans import SharedSpans
 from scrivane.llm.site_lines import repeated_lines, without_lines
+from scrivane.llm.template_residue import residue
 from scrivane.llm.top_items import top_items
 from scrivane.session import table
 
@@ -28,6 +29,12 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return top_items(scans, "domain", "score", "id", 5).select(F.col("group").alias("domain"), F.col("item").alias("scan_id"))
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    titles = table(spark, d, "scans").select("id", "title").dropDuplicates(["id"])
+    found = residue(titles, "id", {"title": True}).unionByName(residue(table(spark, d, "fetch_results"), "scan_id", {"text": False}))
+    return found.select("field_name", F.col("record").alias("scan_id"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     names = table(spark, d, "scans").select(F.col("id").alias("scan_id"), "domain", "title").dropDuplicates(["scan_id"])
     return furniture_lines(table(spark, d, "fetch_results"), "scan_id", "domain", "title", "text", "raw_html", names).select(F.col("scan").alias("scan_id"), "line_no")
@@ -84,7 +91,7 @@ def p10_coverage(spark: SparkSession, d: str) -> DataFrame:
     return SharedSpans(table(spark, d, "documents"), "doc_id", "text").coverage().withColumnRenamed("doc", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p4_found, p5_found, p5_cleaned_texts, p7_percentiles, p7_merged_loads, p8_packed, p9_found, p10_found, p10_coverage)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p4_found, p5_found, p5_cleaned_texts, p7_percentiles, p7_merged_loads, p8_packed, p9_found, p10_found, p10_coverage)}
 
 _LINES = r"""
     docs as (select f.scan_id, s.domain, f.text from fetch_results f join (select distinct id, domain from scans) s on s.id = f.scan_id where f.text is not null),
