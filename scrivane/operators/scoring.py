@@ -45,14 +45,15 @@ def category_means(long: DataFrame, keys: list[str]) -> DataFrame:
     return by.na.fill(0.0, list(CATEGORIES))
 
 
-def model_similarity(long: DataFrame, profiles: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, model_id, similarity): 1 less the mean distance from a profile over the patterns both have, to three digits; 0 for none.
+def model_similarity(long: DataFrame, profiles: DataFrame, keys: list[str], digits: int = 3) -> DataFrame:
+    """(keys, model_id, similarity): 1 less the mean distance from a profile over the patterns both have; 0 for none.
 
     profiles: (model_id, pattern_id, expected); it doesn't grow with the documents.
     """
     met = long.join(F.broadcast(profiles), "pattern_id")
-    near = met.groupBy(*keys, "model_id").agg(F.bround(1 - F.avg(F.abs(F.col("norm_score") - F.col("expected"))), 3).alias("similarity"))
-    every = long.select(*keys).distinct().join(F.broadcast(profiles.select("model_id").distinct()), how="cross")  # a few models
+    near = met.groupBy(*keys, "model_id").agg(F.bround(1 - F.avg(F.abs(F.col("norm_score") - F.col("expected"))), digits).alias("similarity"))
+    models = [r[0] for r in profiles.select("model_id").distinct().limit(10_000).collect()]
+    every = long.select(*keys).distinct().select(*keys, F.explode(F.array(*(F.lit(m) for m in models))).alias("model_id"))
     return every.join(near, [*keys, "model_id"], "left").select(*keys, "model_id", F.coalesce("similarity", F.lit(0.0)).alias("similarity"))
 
 
@@ -61,6 +62,6 @@ def similarity_map(similar: DataFrame, keys: list[str]) -> DataFrame:
     return similar.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("model_id", "similarity")))).alias("model_match"))  # a few models
 
 
-def delta_vector(a: Column, b: Column) -> Column:
-    """The differences by category, to three digits."""
-    return F.struct(*(F.bround(a[c] - b[c], 3).alias(c) for c in CATEGORIES))
+def delta_vector(a: Column, b: Column, digits: int = 3) -> Column:
+    """The differences by category."""
+    return F.struct(*(F.bround(a[c] - b[c], digits).alias(c) for c in CATEGORIES))
