@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: The characters that count as white space and as line ends for words and lines.
 WS = r"[\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-NOT_WS = WS.replace("[", "[^", 1)
 BLANKS = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
 #: Expressions for bullets, headings, pictographs, sentence ends and the characters stripped from tokens.
@@ -30,7 +30,8 @@ def words(text: Column) -> Column:
 
 
 def word_count(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(NOT_WS + "+")).cast("bigint")
+    bare = strip(text)
+    return F.when(bare == "", F.lit(0)).otherwise(F.size(F.split(bare, WS + "+"))).cast("bigint")
 
 
 def strip(text: Column) -> Column:
@@ -54,16 +55,83 @@ def count_terms(low: Column, terms: list[str], exact: bool = False) -> Column:
     return F.aggregate(array, zero, lambda n, t: n + count_substring(low, t))
 
 
+def term_automaton(terms: tuple[str, ...]):
+    """All terms in one automaton; None where the library for it is missing."""
+    try:
+        import ahocorasick
+    except ImportError:
+        return None
+    a = ahocorasick.Automaton()
+    for t in set(terms):
+        a.add_word(t, (t, len(t)))
+    a.make_automaton()
+    return a
+
+
+def term_counter(groups: list[tuple[list[str], bool]]):
+    """A column function: lower-case text -> array with the count of each group of (terms, exact), as count_terms gives it.
+
+    One pass over a text finds all terms of all groups, where count_terms makes one pass for every term. Batches go to Python as Arrow
+    columns. Without the automaton library the counts are those column expressions.
+    """
+    lowered = [([t.lower() for t in terms], exact) for terms, exact in groups]
+    weights: dict[str, list[tuple[int, int]]] = {}
+    starts: list[tuple[str, int]] = []
+    for g, (terms, exact) in enumerate(lowered):
+        for t in terms:
+            weights.setdefault(f" {t} " if exact else t, []).append((g, 1))
+            if exact:
+                starts.append((f"{t} ", g))
+    if term_automaton(("a",)) is None:
+        return lambda low: F.array(*(count_terms(low, t, e) for t, e in groups))
+    words = tuple(weights)
+    cache: dict = {}
+
+    @F.pandas_udf("array<bigint>")
+    def count(low: pd.Series) -> pd.Series:
+        if "a" not in cache:
+            cache["a"] = term_automaton(words)
+        automaton, out = cache["a"], []
+        for text in low:
+            n = [0] * len(lowered)
+            until: dict[str, int] = {}
+            for end, (term, size) in automaton.iter(text or ""):
+                if end - size >= until.get(term, -1):  # occurrences of one term that overlap count once
+                    until[term] = end
+                    for g, w in weights[term]:
+                        n[g] += w
+            for term, g in starts:
+                if text and text.startswith(term):
+                    n[g] += 1
+            out.append(n)
+        return pd.Series(out)
+
+    return count
+
+
 def guard_runs(pattern: str) -> str:
     """Makes an unbounded repeated group at a pattern's end possessive: the same matches, without a stack frame for each round."""
     return re.sub(r"\)(\+|\*|\{\d+,\})$", r")\1+", pattern)
 
 
+_BOUNDED = re.compile(r"\[\^((?:[^\]\\]|\\.)+)\](\{\d+,\d+\})(?=(\[[^\]\\^-]+\]|[,;:.!?]))")
+
+
+def keep_runs(pattern: str) -> str:
+    """Makes a bounded run of other characters than c possessive where some c must follow: giving back characters could never let it follow."""
+
+    def change(m: re.Match) -> str:
+        excluded = set(m[1].replace("\\n", "\n"))
+        return m[0] + "+" if m[3] != "." and set(m[3].strip("[]")) <= excluded else m[0]
+
+    return _BOUNDED.sub(change, pattern)
+
+
 def java_regex(pattern: str, flags: str) -> str:
     """A pattern of the library in Java's dialect. Up to three characters are taken literally."""
     if len(pattern) <= 3:
         return f"(?{flags})" + re.sub(r"([^\w\s])", r"\\\1", pattern)
-    return f"(?{flags})" + guard_runs(pattern)
+    return f"(?{flags})" + guard_runs(keep_runs(pattern))
 
 
 def count_matches(text: Column, patterns: list[str], flags: str = "iuUd") -> Column:

@@ -28,11 +28,11 @@ def prepare(df: DataFrame, text: str = "text", raw_html: str | None = None, pref
     """df with a struct of the columns that detectors share. A NULL text counts as empty."""
     t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     html = F.col(f"`{raw_html}`") if raw_html else F.lit(None).cast("string")
-    sent = F.split(T.strip(t), "(?U)" + T.SENTENCE_END)
+    sent = F.split(T.strip(t), T.SENTENCE_END.replace(r"\s", T.WS))
     shared = F.struct(
         t.alias("text"), F.lower(t).alias("low"), T.word_count(t).alias("n_words"), html.alias("raw_html"),
         F.transform(T.words(F.lower(t)), lambda w: F.btrim(w, F.lit(T.TOKEN_EDGE))).alias("tokens"), T.lengths(T.paragraphs(t)).alias("paragraphs"),
-        F.filter(F.transform(sent, lambda s: F.struct(T.word_count(s).cast("double").alias("n"), F.endswith(T.strip(s), F.lit("?")).alias("asks"))), lambda s: s["n"] >= 2).alias("sentences"),
+        F.filter(F.transform(sent, lambda s: F.struct(T.word_count(s).cast("double").alias("n"), F.endswith(s, F.lit("?")).alias("asks"))), lambda s: s["n"] >= 2).alias("sentences"),
     )
     return df.select("*", F.inline(F.array(F.struct(shared.alias(prefix)))))
 
@@ -138,9 +138,17 @@ def score_documents(df: DataFrame, patterns: list[Pattern], weights: dict[str, f
     of word_freq_variance then come from it. NULL and empty texts have score 0 throughout, but for an index from absent questions.
     """
     use = [p for p in patterns if usable(p)]
-    raws = F.struct(*(raw_value(p, DocumentColumns()).alias(f"r{i}") for i, p in enumerate(use)), F.lit(0).alias("none"))
+    phrases = [p for p in use if p.detection_type == "frequency"]
+    at = {p.id: i for i, p in enumerate(phrases)}
+    d = DocumentColumns()
+    raw_of = lambda p: _rate(F.col("phrases")[at[p.id]], d, p.params) if p.id in at else raw_value(p, d)
+    raws = F.struct(*(raw_of(p).cast("double").alias(f"r{i}") for i, p in enumerate(use)), F.lit(0).alias("none"))
     results = F.array(*(result(p, F.col(f"raws.r{i}")) for i, p in enumerate(use))) if use else F.array().cast("array<struct<pattern_id:string,category:string,raw_value:double,norm_score:double,weight:double,label:string,pattern_version:int,pattern_hash:string>>")
-    out = prepare(df, text, raw_html).select("*", F.inline(F.array(F.struct(raws.alias("raws")))))
+    out = prepare(df, text, raw_html)
+    if phrases:
+        counter = T.term_counter([(p.params["terms"], p.params.get("match_mode", "contains") == "exact") for p in phrases])
+        out = out.withColumn("phrases", counter(F.col("d.low")))
+    out = out.select("*", F.inline(F.array(F.struct(raws.alias("raws"))))).drop("phrases")
     out = out.select("*", F.inline(F.array(F.struct(results.alias("results"))))).drop("raws")
     zipf = [p for p in use if p.params.get("metric") == "word_freq_variance"]
     if frequencies is not None and zipf and key:
