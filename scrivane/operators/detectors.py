@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from scrivane.functions import text as T
 from scrivane.operators.scoring import category_scores, clamp, index_of, label_of
 from scrivane.patterns.library import Pattern, usable
+from scrivane.session import spread
 
 
 class DocumentColumns:
@@ -144,7 +145,7 @@ def score_documents(df: DataFrame, patterns: list[Pattern], weights: dict[str, f
     raw_of = lambda p: _rate(F.col("phrases")[at[p.id]], d, p.params) if p.id in at else raw_value(p, d)
     raws = F.struct(*(raw_of(p).cast("double").alias(f"r{i}") for i, p in enumerate(use)), F.lit(0).alias("none"))
     results = F.array(*(result(p, F.col(f"raws.r{i}")) for i, p in enumerate(use))) if use else F.array().cast("array<struct<pattern_id:string,category:string,raw_value:double,norm_score:double,weight:double,label:string,pattern_version:int,pattern_hash:string>>")
-    out = prepare(df, text, raw_html)
+    out = prepare(spread(df), text, raw_html)
     if phrases:
         counter = T.term_counter([(p.params["terms"], p.params.get("match_mode", "contains") == "exact") for p in phrases])
         out = out.withColumn("phrases", counter(F.col("d.low")))
