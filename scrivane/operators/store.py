@@ -69,7 +69,7 @@ class VersionedTable:
         self._fs = self._p(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
     def current(self) -> str | None:
-        pointer = f"{self.path}/_current"
+        pointer = f"{self.path}/current"
         if not self._fs.exists(self._p(pointer)):
             return None
         return self.spark.read.text(pointer).first()[0]
@@ -90,11 +90,11 @@ class VersionedTable:
             df.write.partitionBy("part").parquet(f"{self.path}/{name}")
         else:
             df.write.parquet(f"{self.path}/{name}")
-        fresh = self._p(f"{self.path}/_next")
+        fresh = self._p(f"{self.path}/next")
         stream = self._fs.create(fresh, True)
         stream.write(bytearray(name.encode()))
         stream.close()
-        old = self._p(f"{self.path}/_current")
+        old = self._p(f"{self.path}/current")
         if self._fs.exists(old):
             self._fs.delete(old, False)
         self._fs.rename(fresh, old)

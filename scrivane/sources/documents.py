@@ -43,7 +43,7 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
 
     An HTML file whose text has fewer than LEAST_WORDS words is taken as it is.
     """
-    raw = spark.read.format("binaryFile").load(path).select(F.regexp_replace("path", "^file:/*", "/").alias("file_path"), F.decode("content", F.lit("UTF-8")).alias("body"))
+    raw = spark.read.format("binaryFile").load(path).select(F.regexp_replace("path", "^file:/*", "/").alias("file_path"), F.make_valid_utf8(F.col("content").cast("string")).alias("body"))
     is_html = F.lower("file_path").rlike(r"\.html?$")
     raw = raw.select("file_path", F.when(is_html, F.col("body")).alias("raw_html"), "body", F.inline(F.array(F.struct(F.when(is_html, html_to_text(F.col("body"))).alias("plain")))))
     text = F.when((F.col("plain").isNotNull()) & (word_count(F.col("plain")) >= LEAST_WORDS), F.col("plain")).otherwise(F.col("body"))

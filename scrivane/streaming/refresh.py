@@ -63,6 +63,7 @@ def first_seen(stream: DataFrame, lateness: str = "1 day") -> DataFrame:
     return stream.withWatermark("scanned_at", lateness).dropDuplicatesWithinWatermark(["url"])
 
 
-def score_windows(stream: DataFrame, window: str = "1 day", lateness: str = "1 day", time: str = "scanned_at") -> DataFrame:
-    """Scans and mean score by domain and window of event time; windows that lateness has closed come out."""
-    return stream.withWatermark(time, lateness).groupBy(F.window(time, window), "domain").agg(F.count(F.lit(1)).alias("scans"), F.avg("score").alias("avg_score"))
+def score_windows(stream: DataFrame, window: str = "1 day", lateness: str | None = "1 day", time: str = "scanned_at") -> DataFrame:
+    """Scans and mean score by domain and window of event time; windows that lateness has closed come out. None for a stream that has a watermark."""
+    stream = stream.withWatermark(time, lateness) if lateness else stream
+    return stream.groupBy(F.window(time, window), "domain").agg(F.count(F.lit(1)).alias("scans"), F.avg("score").alias("avg_score"))
