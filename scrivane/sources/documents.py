@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scrivane.functions.text import authority, word_count
+from scrivane.functions.text import authority, strip, word_count
 
 #: Pages with fewer words than this give no document.
 LEAST_WORDS = 20
@@ -47,7 +47,7 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     is_html = F.lower("file_path").rlike(r"\.html?$")
     raw = raw.select("file_path", F.when(is_html, F.col("body")).alias("raw_html"), "body", F.inline(F.array(F.struct(F.when(is_html, html_to_text(F.col("body"))).alias("plain")))))
     text = F.when((F.col("plain").isNotNull()) & (word_count(F.col("plain")) >= LEAST_WORDS), F.col("plain")).otherwise(F.col("body"))
-    return raw.select("file_path", text.alias("text"), "raw_html").filter(F.btrim("text") != "").withColumn("n_words", word_count(F.col("text")))
+    return raw.select("file_path", text.alias("text"), "raw_html").filter(strip(F.col("text")) != "").withColumn("n_words", word_count(F.col("text")))
 
 
 def from_texts(spark: SparkSession, texts: list[str]) -> DataFrame:
