@@ -43,7 +43,7 @@ def aligned(item: list, passage: list, least: int = 16, each: int = 8) -> bool:
     """Whether the passage has the whole item, or ``least`` successive words of it, with at most one word in ``each`` changed.
 
     The longest common subsequence gives pairs of equal words; between two of them the changes are the words of the
-    longer side; words of the item before the first and after the last may count as changed too.
+    longer side; words of the item before the first and after the last may count as changed too, so that 14 equal words are enough for 16.
     """
     n, m = len(item), len(passage)
     if not n or not m:

@@ -173,7 +173,7 @@ def pack_texts(docs: DataFrame, doc: str, text: str, capacities: dict[str, int],
     caps = dict(sorted(capacities.items()))
     if any(c < 1 for c in caps.values()):
         raise ValueError("a capacity must be at least 1")
-    names, sizes_of = list(caps), list(caps.values())
+    names, sizes_of = list(caps), sorted(set(caps.values()))
     with open(vocabulary, "rb") as f:
         content = f.read()
     schema = _parse_datatype_string(_SIZES)
@@ -209,7 +209,7 @@ def pack_texts(docs: DataFrame, doc: str, text: str, capacities: dict[str, int],
     none = items.filter("n_tokens = 0").select("cap", F.lit(None).cast("string").alias("bin"), "doc", F.lit(0).alias("piece"), F.lit(0).alias("n_tokens"))
     of = F.explode(F.array(*(F.struct(F.lit(n).alias("container"), F.lit(c).alias("c")) for n, c in caps.items()))).alias("k")
     laid = rests.unionByName(full).unionByName(none)
-    if len(set(sizes_of)) == len(names):
+    if len(sizes_of) == len(names):
         name = F.create_map(*(F.lit(x) for n, c in caps.items() for x in (c, n)))
         return laid.select(name[F.col("cap")].alias("container"), "bin", "doc", "piece", "n_tokens")
     return laid.select("*", of).filter("cap = k.c").select("k.container", "bin", "doc", "piece", "n_tokens")
