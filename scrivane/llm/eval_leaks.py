@@ -77,6 +77,21 @@ def aligned(item: list, passage: list, least: int = 16, each: int = 8) -> bool:
                     return True
             elif cost * each > n:
                 break
+    return _in_step(a, b, want, each) if len(pairs) * each >= want * (each - 1) - each else False
+
+
+def _in_step(a: np.ndarray, b: np.ndarray, want: int, each: int) -> bool:
+    """The same for words that are only exchanged, on every diagonal: a repeated word can draw the subsequence off it."""
+    n, m = len(a), len(b)
+    sizes = sorted({want, n, *range(-(-want // each) * each, n + 1, each)})
+    for d in range(1 - n, m):
+        lo, hi = max(0, -d), min(n, m - d)
+        if hi - lo < want:
+            continue
+        changed = np.concatenate([[0], np.cumsum(a[lo:hi] != b[lo + d : hi + d])])
+        for size in sizes:
+            if size <= hi - lo and ((changed[size:] - changed[:-size]) * each <= size).any():
+                return True
     return False
 
 

@@ -255,6 +255,15 @@ def test_leaks(spark):
     assert eval_leaks.leaked_items(df.limit(0), "id", "body", it, "item", "q").collect() == [] and eval_leaks.leaked_items(df, "id", "body", it.limit(0), "item", "q").collect() == []
 
 
+def test_alignment_is_not_drawn_off_by_repeats():
+    item = [f"w{i % 11}" if i % 5 == 0 else f"u{i}" for i in range(30)]
+    for a in range(14):
+        part = item[a : a + 16]
+        part[5] = part[9] = "zz"
+        assert eval_leaks.aligned(item, ["w0", "w5", *part, "w10", "w0"])
+    assert not eval_leaks.aligned(item, item[3:16]) and not eval_leaks.aligned([], ["a"]) and eval_leaks.aligned(["a", "b"], ["x", "a", "b"])
+
+
 def test_retrieval_recall(spark):
     """Candidates of the latent space against all pairs that alignment finds, on passages with up to two of sixteen words changed."""
     rng = random.Random(7)
