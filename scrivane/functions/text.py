@@ -134,10 +134,58 @@ def java_regex(pattern: str, flags: str) -> str:
     return f"(?{flags})" + guard_runs(keep_runs(pattern))
 
 
+def _top_level(pattern: str, wanted: str) -> int:
+    """Where an item of ``wanted`` (a character, or a class of them) stands outside of classes and groups; -1 if nowhere, or if there are alternatives outside groups."""
+    depth, i, found = 0, 0, -1
+    while i < len(pattern):
+        c = pattern[i]
+        if c == "\\":
+            i += 2
+            continue
+        if c == "[":
+            end = i + 1
+            while pattern[end] != "]" or end == i + 1:
+                end += 2 if pattern[end] == "\\" else 1
+            inside = pattern[i + 1 : end]
+            if not depth and found < 0 and inside and set(inside) <= set(wanted) and pattern[end + 1 : end + 2] not in ("?", "*", "{"):
+                found = i
+            i = end + 1
+            continue
+        if c == "{":
+            i = pattern.find("}", i) + 1
+            continue
+        depth += (c == "(") - (c == ")")
+        if not depth and c == "|":
+            return -1
+        if not depth and found < 0 and c in wanted and c not in "?.!" and pattern[i + 1 : i + 2] not in ("?", "*", "{"):
+            found = i
+        i += 1
+    return found
+
+
+_REPEATED = re.compile(r"^\(\?:((?:[^()|])+)\)\{(\d+),\}$")
+
+
+def needed_part(pattern: str) -> str | None:
+    """What follows a punctuation mark that a pattern must have, from that mark on: no text without a match of it has one of the pattern.
+
+    It can begin only at the mark, where the whole pattern is tried at almost every letter. A repeated group counts as written out.
+    """
+    if m := _REPEATED.match(pattern):
+        at = _top_level(m[1], ".!?;,")
+        return m[1][at:] + m[1] * (int(m[2]) - 1) if at > 0 else None
+    if "(?<" in pattern or pattern.startswith("(?"):
+        return None
+    at = _top_level(pattern, ";,")
+    return pattern[at:] if at > 0 and len(pattern) > 12 else None
+
+
 def count_matches(text: Column, patterns: list[str], flags: str = "iuUd") -> Column:
     total = F.lit(0).cast("bigint")
     for p in patterns:
-        total = total + F.regexp_count(text, F.lit(java_regex(p, flags))).cast("bigint")
+        n = F.regexp_count(text, F.lit(java_regex(p, flags))).cast("bigint")
+        part = needed_part(p)
+        total = total + (n if part is None else F.when(text.rlike(f"(?{flags})" + keep_runs(part)), n).otherwise(F.lit(0).cast("bigint")))
     return total
 
 
