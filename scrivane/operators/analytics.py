@@ -183,7 +183,8 @@ def trending_domains(stories: DataFrame, excluded: DataFrame, top: int = 25, lea
 
 
 def rank_results(scored: DataFrame) -> DataFrame:
-    return scored.withColumn("place", F.row_number().over(Window.orderBy(F.desc_nulls_last("score"), F.asc_nulls_last("url"))))
+    """Highest score first, by a sort over ranges that needs no single task."""
+    return scored.orderBy(F.desc_nulls_last("score"), F.asc_nulls_last("url"))
 
 
 def outcome_counts(outcomes: DataFrame) -> DataFrame:
