@@ -16,7 +16,7 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scrivane.functions.text import authority, base_url
+from scrivane.functions.text import authority, base_url, word_count
 from scrivane.operators import analytics
 from scrivane.operators.detectors import long_results, score_documents
 from scrivane.operators.scoring import model_similarity, similarity_map
@@ -156,8 +156,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     least = args.min_words if args.command == "scan" else SCAN_WORDS
     pages = _pages(spark, found, args)
     if args.command == "track" or args.save:
-        kept = score_documents(pages, patterns, weights).filter(F.col("n_words") >= least).select(*pages.columns)
-        Refresher(spark, args.store, patterns, weights).merge(kept.drop("raw_html"))
+        Refresher(spark, args.store, patterns, weights).merge(pages.filter(word_count(F.col("text")) >= least))
         return _show(analytics.domain_stats(scans.read(SCANS)), args)
     scored = score_documents(pages, patterns, weights, raw_html="raw_html").filter(F.col("n_words") >= least)
     return _show(analytics.rank_results(scored.select("url", authority(F.col("url")).alias("domain"), F.col("index").alias("score"), F.col("verdict").alias("label"))), args)

@@ -18,8 +18,9 @@ SCORES = "url string, pattern_id string, category string, raw_value double, norm
 
 
 def facts(docs: DataFrame, patterns: list[Pattern], weights: dict[str, float], least_words: int = 0) -> tuple[DataFrame, DataFrame]:
-    """(scans, pattern scores) of documents with url, domain, file_path, text, scanned_at, published_date, title."""
-    scored = score_documents(docs, patterns, weights).filter(F.col("n_words") >= least_words)
+    """(scans, pattern scores) of documents with url, domain, file_path, text, scanned_at, published_date, title, and raw_html if there is any."""
+    html = "raw_html" if "raw_html" in docs.columns else None
+    scored = score_documents(docs, patterns, weights, raw_html=html).filter(F.col("n_words") >= least_words)
     scans = scored.select("url", "domain", "file_path", F.col("n_words").alias("word_count"), F.col("index").alias("score"), F.col("verdict").alias("label"), "categories", "scanned_at", "published_date", "title")
     scores = long_results(scored.filter("url is not null"), ["url"]).select("url", "pattern_id", "category", "raw_value", "norm_score", "pattern_version", "pattern_hash")
     return scans, scores
