@@ -2,13 +2,15 @@
 
 Windows of hashes (winnowing) choose anchors: in any span of at least ``least`` characters, at
 least one anchor is chosen, and the same one in every document that has the span. Documents that share an anchor are
-held against each other at it, letter by letter, which gives the whole common span. Copies of one text are
+held against each other at it, letter by letter, which gives the whole common span. Equal anchors at one short distance mark a
+periodic stretch and are one entry; two such stretches are held against each other at all shifts of one phase, by arithmetic. Copies of one text are
 one class throughout.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import gcd
 
 import numpy as np
 import pyarrow as pa
@@ -64,18 +66,13 @@ def _sliding(x: np.ndarray, w: int, f: np.ufunc, fill: int) -> np.ndarray:
     return f(behind[: n - w + 1], ahead[w - 1 : n])
 
 
-def anchors(texts: list[str], hasher: AnchorHash, window: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each text the chosen (hash, position); a hash is chosen if it is the least of some window.
-
-    Where a text repeats itself at one distance, only the first and the last of the run's equal anchors stay: held
-    against each other, they reach across the whole run.
-    """
+def _chosen(texts: list[str], hasher: AnchorHash, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, hash, position) of all chosen anchors, in that order; a hash is chosen if it is the least of some window."""
     k, most = hasher.k, np.uint64(0xFFFFFFFFFFFFFFFF)
     sizes = np.array([len(t) for t in texts])
     codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
-    none = (np.empty(0, np.int64), np.empty(0, np.int64))
     if len(codes) < k + window - 1:
-        return [none] * len(texts)
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
     h = hasher(codes)
     ends = np.cumsum(sizes)
     starts = ends - sizes
@@ -90,17 +87,42 @@ def anchors(texts: list[str], hasher: AnchorHash, window: int) -> list[tuple[np.
     owner = np.searchsorted(ends, chosen, "right")
     value, pos = h[chosen].view(np.int64), chosen - starts[owner]
     order = np.lexsort((pos, value, owner))
-    o, v, p = owner[order], value[order], pos[order]
-    if len(o) > 2:
-        same = (o[1:] == o[:-1]) & (v[1:] == v[:-1])
-        gap = np.diff(p)
-        inner = np.r_[False, same[:-1] & same[1:] & (gap[:-1] == gap[1:]) & (gap[1:] <= window), False]
-        o, v, p = o[~inner], v[~inner], p[~inner]
+    return owner[order], value[order], pos[order]
+
+
+def anchors(texts: list[str], hasher: AnchorHash, window: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each text the chosen (hash, position)."""
+    o, v, p = _chosen(texts, hasher, window)
     cut = np.searchsorted(o, np.arange(len(texts) + 1))
     return [(v[a:b], p[a:b]) for a, b in zip(cut[:-1], cut[1:])]
 
 
-_MARKS = "doc bigint, h1 bigint, h2 bigint, n_chars int, marks array<bigint>, places array<int>"
+def anchor_runs(o: np.ndarray, v: np.ndarray, p: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """(text, hash, first position, distance to the last, gap) of the anchors as _chosen gives them: three or more equal ones of a text at one distance of at most k are one entry.
+
+    The text is periodic from the first of them to the end of the last. Any other anchor has distance and gap 0. No anchor is left out.
+    """
+    zero = np.zeros(len(o), np.int64)
+    if len(o) < 3:
+        return o, v, p, zero, zero
+    gap = np.where((o[1:] == o[:-1]) & (v[1:] == v[:-1]), np.diff(p), 0)
+    gap[gap > k] = 0
+    begin = np.flatnonzero(np.r_[True, gap[1:] != gap[:-1]])
+    end = np.r_[begin[1:], len(gap)]
+    run = (gap[begin] > 0) & (end - begin >= 2)
+    begin, end = begin[run], end[run]
+    held = np.zeros(len(o) + 1, np.int64)
+    np.add.at(held, begin, 1)
+    np.add.at(held, end + 1, -1)
+    alone = np.flatnonzero(np.cumsum(held[:-1]) == 0)
+    first = np.r_[alone, begin]
+    order = np.argsort(o[first], kind="stable")
+    reach, gaps = np.r_[zero[: len(alone)], p[end] - p[begin]], np.r_[zero[: len(alone)], gap[begin]]
+    first = first[order]
+    return o[first], v[first], p[first], reach[order], gaps[order]
+
+
+_MARKS = "doc bigint, h1 bigint, h2 bigint, n_chars int, marks array<bigint>, places array<int>, reaches array<int>, gaps array<int>"
 
 
 def _mark(k: int, window: int, schema: pa.Schema):
@@ -108,10 +130,10 @@ def _mark(k: int, window: int, schema: pa.Schema):
         hasher = AnchorHash(k)
 
         def send(ids: list[int], texts: list[str]) -> pa.RecordBatch:
-            found = anchors(texts, hasher, window)
+            owner, *found = anchor_runs(*_chosen(texts, hasher, window), k)
             digest = [xxhash.xxh3_128_intdigest(t.encode("utf-8", "surrogatepass")) for t in texts]
-            offsets = np.r_[0, np.cumsum([len(v) for v, _ in found])].astype(np.int32)
-            lists = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([x[i] for x in found]).astype(t))).cast(schema.field(4 + i).type) for i, t in enumerate((np.int64, np.int32))]
+            offsets = np.searchsorted(owner, np.arange(len(texts) + 1)).astype(np.int32)
+            lists = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(x.astype(t))).cast(schema.field(4 + i).type) for i, (x, t) in enumerate(zip(found, (np.int64, np.int32, np.int32, np.int32)))]
             return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([(d >> 64) - (1 << 63) for d in digest], pa.int64()), pa.array([(d & ((1 << 64) - 1)) - (1 << 63) for d in digest], pa.int64()), pa.array([len(t) for t in texts], pa.int32()), *lists], schema=schema)
 
         for b in batches:
@@ -159,14 +181,64 @@ def common_span(a: str, b: str, i: int, j: int) -> tuple[int, int]:
     return behind(a, b, i, j), ahead(a, b, i, j)
 
 
+def _stretch(t: str, at: int, period: int) -> tuple[int, int]:
+    """Start and end of the stretch around t[at : at + period] that has this period."""
+    back, on = common_span(t, t, at, at + period)
+    return at - back, at + on + period
+
+
+def run_spans(a: str, b: str, run_a: tuple[int, int, int], run_b: tuple[int, int, int], k: int, least: int, every: bool) -> Iterator[tuple[int, int, int]]:
+    """(start_a, start_b, length) of the common spans at which an anchor of run_a meets one of run_b; runs are (first, distance to the last, gap).
+
+    Two stretches of one period agree at all shifts of one phase, as far as both reach, and beyond only where their starts or their ends meet. With ``every`` all these
+    spans are given; else so many that they cover the same characters of both texts.
+    """
+    (i, reach_a, gap_a), (j, reach_b, gap_b) = run_a, run_b
+    word = a[i : i + k]
+    g = gcd(gap_a, gap_b)
+    whole = g > 0 and word == b[j : j + k] and word[g:] == word[: k - g]
+    if whole:
+        (a0, a1), (b0, b1) = _stretch(a, i, g), _stretch(b, j, g)
+        whole = a1 >= i + reach_a + k and b1 >= j + reach_b + k
+    if not whole:  # single anchors, or gaps without a period in common
+        for x in range(i, i + reach_a + 1, gap_a or 1):
+            for y in range(j, j + reach_b + 1, gap_b or 1):
+                back, on = common_span(a, b, x, y)
+                if back + on >= least:
+                    yield x - back, y - back, back + on
+        return
+    met = {s for s in (a0 - b0, a1 - b1) if (s - i + j) % g == 0 and min(a1, b1 + s) - max(a0, b0 + s) >= g}
+    for s in met:
+        lo, hi = max(a0, b0 + s), min(a1, b1 + s)
+        back, on = common_span(a, b, lo, lo - s)
+        if back + on >= least:
+            yield lo - back, lo - s - back, back + on
+    if min(a1 - a0, b1 - b0) < least:
+        return
+    s, last = a0 + least - b1, a1 - least - b0
+    s += (i - j - s) % g
+    last -= (last - i + j) % g
+    while s <= last:
+        lo, hi = max(a0, b0 + s), min(a1, b1 + s)
+        if s not in met:
+            yield lo, lo - s, hi - lo
+        far = s + g if every else min(last, a1 - max(a0 - s, b0), hi - b0)
+        s = max(s + g, far - (far - i + j) % g)
+
+
 _SPANS = "doc_a bigint, doc_b bigint, start_a int, start_b int, length int"
 
 
-def _extend(least: int, schema: pa.Schema):
+def _extend(k: int, least: int, every: bool, schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows: list[list] = [[] for _ in range(5)]
-            for da, db, i, j, ta, tb in zip(*(c.to_pylist() for c in b.columns)):
+            for da, db, i, j, ra, rb, ga, gb, ta, tb in zip(*(c.to_pylist() for c in b.columns)):
+                if ga or gb:
+                    for span in run_spans(ta, tb, (i, ra, ga), (j, rb, gb), k, least, every):
+                        for col, x in zip(rows, (da, db, *span)):
+                            col.append(x)
+                    continue
                 back, on = common_span(ta, tb, i, j)
                 if back + on >= least:
                     for col, x in zip(rows, (da, db, i - back, j - back, back + on)):
@@ -181,7 +253,8 @@ class SharedSpans:
 
     ``classes`` (doc, class_doc, n_chars): every document and the smallest document with the same text.
     ``spans`` (doc_a, doc_b, start_a, start_b, length): every maximal common span of two classes, doc_a < doc_b, at
-    least ``least`` code points long; starts count from 0. Documents with NULL or no text are in neither, nor are rows without
+    least ``least`` code points long; starts count from 0. ``covering`` has the same columns and covers the same characters, with fewer of the many
+    spans that two periodic stretches have in common. Documents with NULL or no text are in neither, nor are rows without
     a document number. Repeated rows of one document are taken once. Columns beside doc and text are not read.
     """
 
@@ -197,22 +270,21 @@ class SharedSpans:
         self.least = least
         self.classes = marked.select("doc", "h1", "h2", "n_chars", F.pmod("doc", F.lit(SALTS)).cast("int").alias("salt")).join(salted, ["h1", "h2", "salt"]).select("doc", "class_doc", "n_chars").dropDuplicates(["doc"])
         heads = marked.join(first.select(F.col("class_doc").alias("doc")), "doc", "left_semi").dropDuplicates(["doc"])
-        posts = heads.select("doc", F.inline(F.arrays_zip("marks", "places")).alias("mark", "at"))
+        posts = heads.select("doc", F.inline(F.arrays_zip("marks", "places", "reaches", "gaps")).alias("mark", "at", "reach", "gap"))
         often = posts.groupBy("mark").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).filter("lo < hi").select("mark")
         shared = materialize(posts.join(often, "mark"), "anchors")
-        right = shared.select("mark", F.col("doc").alias("doc_b"), F.col("at").alias("at_b"))
-        pairs = shared.select("mark", F.col("doc").alias("doc_a"), F.col("at").alias("at_a")).join(right, "mark").filter("doc_a < doc_b")
-        pairs = pairs.groupBy("doc_a", "doc_b", (F.col("at_a") - F.col("at_b")).alias("shift")).agg(F.collect_set("at_a").alias("ats"))  # no more than one text's anchors
-        pairs = pairs.select("doc_a", "doc_b", F.explode("ats").alias("at_a"), "shift").select("doc_a", "doc_b", "at_a", (F.col("at_a") - F.col("shift")).alias("at_b"))
+        side = lambda s: shared.select("mark", *(F.col(c).alias(f"{c}_{s}") for c in ("doc", "at", "reach", "gap")))
+        pairs = side("a").join(side("b"), "mark").filter("doc_a < doc_b").drop("mark")
         texts = src.join(shared.select("doc").distinct(), "doc", "left_semi").dropDuplicates(["doc"])
         both = pairs.join(texts.select(F.col("doc").alias("doc_a"), F.col("text").alias("text_a")), "doc_a").join(texts.select(F.col("doc").alias("doc_b"), F.col("text").alias("text_b")), "doc_b")
         out = _parse_datatype_string(_SPANS)
-        self.spans = both.select("doc_a", "doc_b", "at_a", "at_b", "text_a", "text_b").mapInArrow(_extend(least, to_arrow_schema(out)), out).distinct()
+        both = both.select("doc_a", "doc_b", "at_a", "at_b", "reach_a", "reach_b", "gap_a", "gap_b", "text_a", "text_b")
+        self.spans, self.covering = (both.mapInArrow(_extend(k, least, every, to_arrow_schema(out)), out).distinct() for every in (True, False))
 
     def pairs(self) -> DataFrame:
         """(doc_a, doc_b), doc_a < doc_b: all pairs of documents with a span in common, copies included."""
         one = lambda s: self.classes.select(F.col("doc").alias(f"doc_{s}"), F.col("class_doc").alias(f"class_{s}"))
-        apart = self.spans.select(F.col("doc_a").alias("class_a"), F.col("doc_b").alias("class_b")).distinct()
+        apart = self.covering.select(F.col("doc_a").alias("class_a"), F.col("doc_b").alias("class_b")).distinct()
         different = apart.join(one("a"), "class_a").join(one("b"), "class_b").select(F.least("doc_a", "doc_b").alias("doc_a"), F.greatest("doc_a", "doc_b").alias("doc_b"))
         long = self.classes.filter(F.col("n_chars") >= self.least)
         copies = long.select(F.col("doc").alias("doc_a"), "class_doc").join(long.select(F.col("doc").alias("doc_b"), "class_doc"), "class_doc").filter("doc_a < doc_b").select("doc_a", "doc_b")
@@ -224,7 +296,7 @@ class SharedSpans:
         n_copies counts the documents with the same text, itself included; n_classes the other texts that share a span. A text of at
         least ``least`` characters with a copy is shared as a whole.
         """
-        sides = self.spans.select(F.col("doc_a").alias("d"), F.col("doc_b").alias("other"), F.col("start_a").alias("s"), (F.col("start_a") + F.col("length")).alias("e")).unionByName(self.spans.select(F.col("doc_b").alias("d"), F.col("doc_a").alias("other"), F.col("start_b").alias("s"), (F.col("start_b") + F.col("length")).alias("e")))
+        sides = self.covering.select(F.col("doc_a").alias("d"), F.col("doc_b").alias("other"), F.col("start_a").alias("s"), (F.col("start_a") + F.col("length")).alias("e")).unionByName(self.covering.select(F.col("doc_b").alias("d"), F.col("doc_a").alias("other"), F.col("start_b").alias("s"), (F.col("start_b") + F.col("length")).alias("e")))
         links = sides.groupBy("d").agg(F.countDistinct("other").alias("n_classes"))
         # Spans of one place in many documents are one entry; the union of a text's intervals by running maximum.
         from pyspark.sql.window import Window

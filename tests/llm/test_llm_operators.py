@@ -330,3 +330,39 @@ def test_anchor_guarantee():
         (va, pa), (vb, pb) = shared_spans.anchors([a, b], hasher, 33)
         at = {(v, p - len(a) + 48) for v, p in zip(va.tolist(), pa.tolist())} & {(v, p) for v, p in zip(vb.tolist(), pb.tolist())}
         assert at, (a, b)
+
+
+@pytest.mark.parametrize("least", [64, 65])
+def test_spans_of_periodic_stretches(spark, least):
+    """Stretches of all phases, a little longer than the least span, against long ones; pairs, spans and covered characters as brute force has them."""
+    rng = random.Random(10)
+    text = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    docs = []
+    for period in (1, 2, 7, 20, 31, 32, 33):
+        root = text(period) * 40
+        for _ in range(7):
+            a = rng.randrange(period)
+            docs.append(text(rng.randrange(40)) + root[a : a + least + rng.randrange(-3, 2 * period)] + text(rng.randrange(40)))
+        docs += [text(9) + (text(period) * 40)[:300] + text(9), text(5) + root[:400][-300:] + text(5), root[:150] + "|" + root[3:200]]
+    docs = list(enumerate(docs))
+    found = shared_spans.SharedSpans(spark.createDataFrame(docs, "id long, body string").repartition(3), "id", "body", least)
+    assert {tuple(r) for r in found.pairs().collect()} == _pairs(docs, least)
+    seen = defaultdict(set)
+    for d, t in docs:
+        for i in range(len(t) - least + 1):
+            seen[t[i : i + least]].add(d)
+    for r in found.coverage().collect():
+        t, held = docs[r.doc][1], set()
+        for i in range(len(t) - least + 1):
+            if len(seen[t[i : i + least]]) > 1:
+                held |= set(range(i, i + least))
+        assert r.shared_chars == len(held), (r, t)
+    want = set()
+    for (da, a), (db, b) in combinations(docs, 2):
+        if any(da in s and db in s for s in seen.values() if len(s) > 1):
+            for i in range(len(a) - least + 1):
+                j = -1
+                while (j := b.find(a[i : i + least], j + 1)) >= 0:
+                    if i == 0 or j == 0 or a[i - 1] != b[j - 1]:
+                        want.add((da, db, i, j, shared_spans.common_span(a, b, i, j)[1]))
+    assert {tuple(r) for r in found.spans.collect()} == want
