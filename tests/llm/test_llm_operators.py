@@ -116,6 +116,18 @@ def test_main_body(spark):
     assert main_body.furniture_lines(df.limit(0), "scan", "host", "name", "body", "html").collect() == []
 
 
+def test_wording_of_few_pages_counts_among_many(spark):
+    """Furniture of a host of three pages settles its page without markup, whether there are few other pages or very many."""
+    page = lambda n: (["Kettle post", f"On the {n} pans", "By hand of the smith", "The pan was mended in a day, and then it was used again.", "Ask the smith for a ladle", "PRINTED AT THE OLD MILL", "Printed at the old mill"])
+    mark = lambda x: f"<body><div class='top'>{x[0]}</div><div class='post'><h1>{x[1]}</h1><div class='by'>{x[2]}</div><p>{x[3]}</p><div class='ask'>{x[4]}</div></div><div class='end'>{x[5]}</div><div class='foot'>{x[6]}</div></body>"
+    rows = [(n, "small.x", page(n)[1], "\n".join(page(n)), mark(page(n)) if n else None) for n in range(3)]
+    small = spark.createDataFrame(rows, "scan long, host string, name string, body string, html string")
+    many = spark.range(100, 60_100).select(F.col("id").alias("scan"), F.lit("big.x").alias("host"), F.lit(None).cast("string").alias("name"), F.lit("One line that is all.").alias("body"), F.lit(None).cast("string").alias("html"))
+    want = {(n, k) for n in range(3) for k in (1, 3, 5, 6, 7)}
+    for df in (small, small.unionByName(many)):
+        assert {tuple(r) for r in main_body.furniture_lines(df, "scan", "host", "name", "body", "html").filter("scan < 100").collect()} == want
+
+
 def test_page_blocks():
     blocks = main_body.page_blocks(_page(False, 1)[1])
     assert [b[2] for b in blocks][2:6] == ["h1", "div.byline", "p", "p"] and len({b[0] for b in blocks}) == 4
