@@ -128,6 +128,23 @@ def test_wording_of_few_pages_counts_among_many(spark):
         assert {tuple(r) for r in main_body.furniture_lines(df, "scan", "host", "name", "body", "html").filter("scan < 100").collect()} == want
 
 
+def test_constant_slots_within_the_main_body(spark):
+    """A host that names a byline has a prompt in a plain paragraph on every page; standing intros, subheadings and copies of one article are content."""
+    rows, want = [], set()
+    for n in range(8):
+        own = [f"{w} number {'abcdefgh'[n]} was carried over the hill at dawn, and nobody could say afterwards why it had to go that way." for w in ("Kettle", "Ladle", "Anvil")]
+        lines = [f"About {'abcdefgh'[n]}", "By Ann Bell", "Every week we look at one thing.", own[0], "Background", own[1], "Tell a friend about these letters if you liked this one.", own[2]]
+        tags = ["h1", "div class='by'", "p", "p", "h2", "p", "p", "p"]
+        rows.append((n, "a.x", lines[0], "\n".join(lines), "<body><div class='post'>" + "".join(f"<{t}>{x}</{t.split()[0]}>" for t, x in zip(tags, lines)) + "</div></body>"))
+        want |= {(n, 2), (n, 7)}
+    copy = ["One text", "By Ann Bell", "The mill stood still that day.", "Then it went on."]
+    for n in range(20, 24):
+        rows.append((n, "b.x", copy[0], "\n".join(copy), "<body><div class='post'>" + "".join(f"<{t}>{x}</{t.split()[0]}>" for t, x in zip(["h1", "div class='by'", "p", "p"], copy)) + "</div></body>"))
+        want.add((n, 2))
+    df = spark.createDataFrame(rows, "scan long, host string, name string, body string, html string").repartition(3)
+    assert {tuple(r) for r in main_body.furniture_lines(df, "scan", "host", "name", "body", "html").collect()} == want
+
+
 def test_page_blocks():
     blocks = main_body.page_blocks(_page(False, 1)[1])
     assert [b[2] for b in blocks][2:6] == ["h1", "div.byline", "p", "p"] and len({b[0] for b in blocks}) == 4
