@@ -86,6 +86,15 @@ def test_aligned_records_tell_mentions_from_slots(spark):
     assert {r.record for r in template_residue.residue(df, "id", {"title": True}).collect()} == {0, 1, 2, 6, 7, 8}
 
 
+def test_residue_does_not_depend_on_the_number_of_lines(spark):
+    """One unfilled template leaves the same field in all records."""
+    for n in (1, 2, 3, 40):
+        rows = [(i, f"Thanks, {{{{ first_name }}}}, for reading Amber {'ABCDEFGH'[i % 8]}eekly {i}") for i in range(n)]
+        rows += [(100 + i, f"How {w}sted renders {{{{ name }}}} in templates") for i, w in enumerate(("Mar", "Tel", "Vor", "Kel")[:n])]
+        df = spark.createDataFrame(rows, "id long, text string")
+        assert {r.record for r in template_residue.residue(df, "id", {"text": False}).collect()} == set(range(n))
+
+
 # Main body
 
 
