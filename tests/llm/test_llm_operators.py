@@ -95,6 +95,17 @@ def test_residue_does_not_depend_on_the_number_of_lines(spark):
         assert {r.record for r in template_residue.residue(df, "id", {"text": False}).collect()} == set(range(n))
 
 
+def test_repeated_error_pages_in_any_wording(spark):
+    """Error pages by their repeated template, also in long lines; one of its kind, one without evidence and a long text aren't."""
+    gone = "Menu\nOur hamsters dropped the page {}, so it could not be found by anyone at {}.\nGo home"
+    long = "We are unable to show this " + "very " * 50 + "fine page {} to you today."
+    bread = "Bread {}\nKnead the dough and let it rest."
+    article = "The mill {} was unavailable. " + "It stood by the river and nobody minded. " * 20
+    texts = [t.format(i, "Oslo") for t in (gone, long) for i in range(4)] + ["Sorry, the stove is unavailable."] + [t.format(i) for t in (bread, article) for i in range(4)]
+    df = spark.createDataFrame(list(enumerate(texts)) * 2, "id long, text string").repartition(3)
+    assert {r.record for r in template_residue.residue(df, "id", {"text": False}).collect()} == set(range(8))
+
+
 # Main body
 
 
