@@ -62,12 +62,12 @@ def value_runs(df: DataFrame, group: str, value: str) -> DataFrame:
 
 
 class Range:
-    """What is known of a wanted rank: values up to lo are ``below`` in number and ruled out, as are those from hi on; ``left`` remain."""
+    """What is known of a wanted rank: values up to lo are ``below`` in number and ruled out, as are those from hi on; ``left`` remain. An end is None as long as it is open: infinities are values."""
 
     __slots__ = ("group", "slot", "rank", "lo", "hi", "below", "left", "value")
 
     def __init__(self, group, slot: int, rank: int, n: int):
-        self.group, self.slot, self.rank, self.lo, self.hi, self.below, self.left, self.value = group, slot, rank, -math.inf, math.inf, 0, n, None
+        self.group, self.slot, self.rank, self.lo, self.hi, self.below, self.left, self.value = group, slot, rank, None, None, 0, n, None
 
     def narrow(self, pivot: float, less: int, equal: int) -> None:
         if self.rank <= self.below + less:
@@ -78,8 +78,8 @@ class Range:
             self.lo, self.below, self.left = pivot, self.below + less + equal, self.left - less - equal
 
 
-def _between(vals: np.ndarray, lo: float, hi: float) -> tuple[int, int]:
-    return int(np.searchsorted(vals, lo, "right")), int(np.searchsorted(vals, hi, "left"))
+def _between(vals: np.ndarray, lo: float | None, hi: float | None) -> tuple[int, int]:
+    return 0 if lo is None else int(np.searchsorted(vals, lo, "right")), len(vals) if hi is None else int(np.searchsorted(vals, hi, "left"))
 
 
 def _over_runs(active: dict, visit, schema: pa.Schema):
@@ -216,7 +216,7 @@ def _narrow(runs: DataFrame, wanted: list[Range], gather: int) -> None:
     while open_ := {i: w for i, w in enumerate(wanted) if w.value is None and w.left > gather}:
         active = _grouped(open_, lambda i, w: (i, w.lo, w.hi, 0.0))
         medians = runs.mapInArrow(_over_runs(active, _propose, to_arrow_schema(proposals)), proposals)
-        pivots = {r[0]: r[1] for r in medians.groupBy("no").agg(F.percentile("median", F.lit(0.5), F.col("weight")).alias("p")).collect()}  # one row for each open rank
+        pivots = {r[0]: 0.0 if math.isnan(r[1]) else r[1] for r in medians.groupBy("no").agg(F.percentile("median", F.lit(0.5), F.col("weight")).alias("p")).collect()}  # one row for each open rank; NaN lies between the infinities
         active = _grouped(open_, lambda i, w: (i, w.lo, w.hi, pivots[i]))
         ways = runs.mapInArrow(_over_runs(active, _count, to_arrow_schema(counted)), counted)
         sums = {r[0]: r for r in ways.groupBy("no").agg(F.sum("less").alias("less"), F.sum("equal").alias("equal")).collect()}

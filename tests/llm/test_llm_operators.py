@@ -219,6 +219,15 @@ def test_percentiles(spark, gather):
     assert percentiles.percentiles(df.limit(0), "k", "v", qs, gather).collect() == []
 
 
+def test_infinite_values_in_large_groups(spark):
+    by = {"both": [float("-inf")] * 30 + [float(i) for i in range(200)] + [float("inf")] * 40, "low": [float("-inf")] * 90 + [1.0], "high": [float("inf")] * 90 + [1.0], "ends": [float("-inf")] * 50 + [float("inf")] * 50}
+    df = spark.createDataFrame([(k, v) for k, vs in by.items() for v in vs], "k string, v double").repartition(5)
+    qs = [0, 0.1, 0.2, 0.5, 0.9, 1]
+    for gather in (10, 65_536):
+        got = {r.group: (r.n, r["values"]) for r in percentiles.percentiles(df, "k", "v", qs, gather).collect()}
+        assert got == {k: (len(v), [_exact(v, q) for q in qs]) for k, v in by.items()}
+
+
 def test_summaries_merge_within_their_bound(spark):
     rng = np.random.default_rng(4)
     loads = [[("k", float(v)) for v in rng.normal(m, 1, n)] for m, n in ((0, 700), (2, 1300), (5, 40))]
