@@ -30,9 +30,9 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    titles = table(spark, d, "scans").select("id", "title").dropDuplicates(["id"])
-    found = residue(titles, "id", {"title": True}).unionByName(residue(table(spark, d, "fetch_results"), "scan_id", {"text": False}))
-    return found.select("field_name", F.col("record").alias("scan_id"))
+    titles = table(spark, d, "scans").select("id", "domain", "title", F.lit(None).cast("string").alias("text")).dropDuplicates(["id"])
+    texts = table(spark, d, "fetch_results").select(F.col("scan_id").alias("id"), F.lit(None).cast("string").alias("domain"), F.lit(None).cast("string").alias("title"), "text")
+    return residue(titles.unionByName(texts), "id", {"title": True, "text": False}, "domain").select("field_name", F.col("record").alias("scan_id"))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:

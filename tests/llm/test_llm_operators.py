@@ -58,13 +58,13 @@ def test_top_items(spark, parts):
 
 RESIDUE = [
     ("{{ topic }}", 1), ("The slow recipe by %%city%%", 1), ("Untitled-8", 1), ("undefined | undefined", 1), ("[your site url]", 1), ("HTTP 404", 1), ("Access denied", 1), ("NaN of undefined", 1), ("Lorem ipsum dolor sit amet. Enim", 1), ("asdf blah qwer test", 1),
-    ("Hier steht später der richtige", 1), ("Exercitation voluptate", 1), ("  PAGE NOT FOUND", 1), ("Norwick is down for maintenance", 1), ("You need to enable JS to run this app.", 1), ("INSERT author name", 1), ("${TOPIC} | Marevek", 1), ("__CITY__", 1),
+    ("Hier steht Text. Hier steht Text. Hier steht Text. Hier", 1), ("Exercitation voluptate", 1), ("  PAGE NOT FOUND", 1), ("Norwick is down for maintenance", 1), ("You need to enable JS to run this app.", 1), ("INSERT author name", 1), ("${TOPIC} | Marevek", 1), ("__CITY__", 1),
     ("Access denied to Lumuvek: a walker writes", 0), ("How Braholt renders {{ name }} in templates", 0), ("What ${var} means in the Zaniquay shell", 0), ("Lorem ipsum: where Tarris found its filler text", 0), ("Untitled: the painter Lumnix and 151 works", 0), ("Page not found: an essay on Cornix", 0),
     ("Should a blog need JavaScript? Wesford says no", 0), ("Insert coin: the arcades of Pelmobel", 0), ("[Review] Ashanix in 205 plates", 0), ("Error handling in 100 days", 0), ("75% of Norvek, 20% of the fun", 0), ("", 0), (None, 0), ("Notes on testing", 0), ("x" * 50_000, 0),
 ]
 TEXTS = [
     ("Menu\nHello %%first_name%%, we sorted the canal.\nFooter", 1), ("A\nShell beginners in Brausted often confuse ${city} with %city%, so the course takes long.", 0), ("In the Holerin engine a template line such as `Hello {{ name }}` is filled in.", 0), ("Nav\nThis was written by {{ PAGE_TITLE }}.", 1),
-    ("Search\nSeite nicht gefunden\nFehler 429", 1), ("Title\nThe team rewrote the message \"404 Not Found\" 93 times before readers stopped complaining.", 0), ("Real text.\nCeci est un faux texte qui occupe la place du contenu définitif. Il sera remplacé plus tard.", 1), ("Untitled document\nNothing else.", 0), (None, 0), ("", 0),
+    ("Search\nSeite nicht gefunden\nFehler 429", 1), ("Title\nThe team rewrote the message \"404 Not Found\" 93 times before readers stopped complaining.", 0), ("Real text.\nCeci est un faux texte. Il part. Ceci est un faux texte. Il part. Ceci est un faux texte. Il part.", 1), ("Untitled document\nNothing else.", 0), (None, 0), ("", 0),
 ]
 
 
@@ -95,6 +95,46 @@ def test_residue_does_not_depend_on_the_number_of_lines(spark):
         assert {r.record for r in template_residue.residue(df, "id", {"text": False}).collect()} == set(range(n))
 
 
+def test_slots_and_notations_of_any_kind(spark):
+    """Fields in notations that stand in no list; a blank where other records have a word; one name in all records is wording."""
+    marks = ["§§{}§§", "<<{}>>", "^^{}^^", "{{{{{}}}}}", "&&{}&&"]
+    fields = [f"Recipes sent by {m.format(n)} to us" for m, n in zip(marks, ("cook", "town", "team", "city", "editor"))]
+    plain = [f"Recipes sent by {n} to us" for n in ("Anna", "Bert", "Carl")]
+    blank = ["Recipes sent by () to us"]
+    spoken = [f"How {n} prints {{{{ name }}}} on paper" for n in ("Oslo", "Rome", "Bern", "Kiel")]
+    rows = [(i, f"h{i % 4}", t) for i, t in enumerate(fields + blank + plain + spoken + ["**bold** words (see) [1] and a==b==c"])]
+    df = spark.createDataFrame(rows, "id long, host string, title string").repartition(3)
+    assert {r.record for r in template_residue.residue(df, "id", {"title": True}, "host").collect()} == set(range(6))
+
+
+def test_titles_that_programs_give(spark):
+    """Letter for letter at several hosts, closed at every position; not so the titles of an open template."""
+    given = [(i, f"h{i}", "Klik om te beginnen") for i in range(4)]
+    open_ = [(10 + 10 * k + i, f"h{i}", f"Notes on {w}") for k, w in enumerate("waiting sorting baking sailing mending reading".split()) for i in range(4)]
+    one_host = [(90 + i, "h1", "Onze eigen pagina") for i in range(4)]
+    df = spark.createDataFrame(given + open_ + one_host, "id long, host string, title string").repartition(3)
+    assert {r.record for r in template_residue.residue(df, "id", {"title": True}, "host").collect()} == set(range(4))
+
+
+def test_messages_and_copy_in_any_wording(spark):
+    """Between furniture: a message in place of the article, and copy laid to fit. Furniture beside articles is neither, nor is a short article."""
+    menu, foot = "Home\nTopics\nWe bake small files, and by reading on you take them all", "Printed in Oslo on paper that was paper before it was this paper"
+    article = lambda i: f"The mill {i} stood by the river {i * 7} years, and {'abcdefghij'[i % 10]}{i} nobody minded much that it was {'klmnopqrst'[i // 10 % 10]}{i} crooked."
+    long = lambda i: " ".join(article(i + 100 * k) for k in range(4))
+    messages = [f"{menu}\nDe bakker is even weg\nKom over {i} minuten terug\n{foot}" for i in range(7)]
+    copy = "Hic stat verbum. Post veniet melius."
+    laid = [f"{menu}\n{long(i)}\n" + " ".join([copy] * (i % 3 + 1)) + f"\n{foot}" for i in range(20, 29)]
+    articles = [f"{menu}\n{long(i)}\n{foot}" for i in range(40, 80)]
+    short = [f"{menu}\nBread {i}" for i in range(90, 92)]
+    df = spark.createDataFrame(list(enumerate(messages + laid + articles + short)), "id long, text string").repartition(3)
+    found = template_residue.residue_by_rule(df, "id", {"text": False}).distinct().collect()
+    assert {r.id for r in found} == set(range(16)) and {r.rule for r in found} == {"message", "unit"}
+    brief = spark.createDataFrame([(i, f"{menu}\n{article(i)}\n{foot}") for i in range(30)], "id long, text string")
+    assert template_residue.residue(brief, "id", {"text": False}).count() == 0
+    titles = spark.createDataFrame([(100 + i, "Hic stat verbum alium quod " + " ".join("facile manet hodie".split()[:i]), None) for i in range(3)] + [(200 + i, None, f"{article(i)}\nHic stat verbum alium quod facile manet hodie semper apud nos.") for i in range(6)], "id long, title string, text string")
+    assert {r.record for r in template_residue.residue(titles, "id", {"title": True, "text": False}).collect()} == {100, 101, 102, 200, 201, 202, 203, 204, 205}
+
+
 def test_repeated_error_pages_in_any_wording(spark):
     """Error pages by their repeated template, also in long lines; one of its kind, one without evidence and a long text aren't."""
     gone = "Menu\nOur hamsters dropped the page {}, so it could not be found by anyone at {}.\nGo home"
