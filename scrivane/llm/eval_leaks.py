@@ -23,7 +23,7 @@ from pyspark.sql.types import _parse_datatype_string
 
 from scrivane.session import materialize, shuffle_partitions
 
-#: Bound of the query set.
+#: Bounds of a block of the query set.
 MOST_ITEMS, MOST_ITEM_WORDS = 50_000, 2_000_000
 _WORD = re.compile(r"[^\W_]+")
 _TAG = re.compile(r"</?[A-Za-z][^<>]*>")
@@ -197,9 +197,10 @@ def _sketch(space: TermSpace, basis: np.ndarray):
     return of
 
 
-def _search(space: TermSpace, basis: np.ndarray, item_rows: np.ndarray, owner: np.ndarray, item_ids: list, item_words: list[list[str]], least_cosine: float, least: int, each: int, schema: pa.Schema):
+def _search(space: TermSpace, held, item_ids: list, item_words: list[list[str]], least_cosine: float, least: int, each: int, schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decided: dict = {}
+        basis, item_rows, owner = held.value
         bags = [set(w) for w in item_words]
         for b in batches:
             docs, items = [], []
@@ -207,10 +208,9 @@ def _search(space: TermSpace, basis: np.ndarray, item_rows: np.ndarray, owner: n
                 v = space.project(words, basis)
                 v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
                 near = np.unique(owner[(v @ item_rows.T >= least_cosine).any(axis=0)])
-                bag = set(words)
                 for k in near.tolist():
                     want = min(least, len(item_words[k]))
-                    if len(bags[k]) and len(bag & bags[k]) * 2 < min(want, len(bags[k])):
+                    if sum(w in bags[k] for w in words) * 2 < want:
                         continue  # half of the words at least are equal in any case
                     key = (k, tuple(words))
                     if key not in decided:
@@ -231,17 +231,37 @@ def leaked_items(docs: DataFrame, doc: str, text: str, items: DataFrame, item: s
 
     Case, punctuation, spacing, line breaks and markup don't count. Items without words and NULL texts match nothing; items of fewer
     than ``least`` words must stand as a whole. Repeated items and documents give the pair once. ``rank`` is the dimension of the
-    latent space, ``least_cosine`` the cosine in it from which a window is a candidate. More than MOST_ITEMS items are refused: cut the set into blocks.
+    latent space, ``least_cosine`` the cosine in it from which a window is a candidate. Items are searched for in blocks of at most MOST_ITEMS items and
+    MOST_ITEM_WORDS words, which tasks hold, with a pass over the corpus for each; items of ``least`` words or more apart from shorter ones, which need narrower windows.
     Empty tables give no rows. doc and item must be whole numbers.
     """
     spark = docs.sparkSession
+    found = None
+    picked = items.select(F.col(f"`{item}`").cast("bigint"), F.col(f"`{item_text}`")).dropna().distinct().orderBy(F.col(f"`{item}`"))
+    for block in _item_blocks(picked.toLocalIterator(), least):
+        part = _leaked(docs, doc, text, block, least, each, rank, least_cosine, seed)
+        found = part if found is None else materialize(found.unionByName(part), "leaks")
+    return spark.createDataFrame([], "doc bigint, item bigint") if found is None else found.distinct()
+
+
+def _item_blocks(rows, least: int) -> Iterator[list[tuple[int, list[str]]]]:
+    """The query set in blocks: long items, and short ones by their number of words."""
+    open_: dict[int, list] = {}
+    size: dict[int, int] = {}
+    for i, text in rows:
+        if words := words_of(text):
+            k = min(least, len(words))
+            k = k if k == least or k < 4 else k - k % 4  # few blocks
+            open_.setdefault(k, []).append((i, words))
+            size[k] = size.get(k, 0) + len(words)
+            if len(open_[k]) >= MOST_ITEMS or size[k] >= MOST_ITEM_WORDS:
+                yield open_.pop(k)
+                size.pop(k)
+    yield from open_.values()
+
+
+def _leaked(docs: DataFrame, doc: str, text: str, item_words: list[tuple[int, list[str]]], least: int, each: int, rank: int, least_cosine: float, seed: int) -> DataFrame:
     out = _parse_datatype_string("doc bigint, item bigint")
-    picked = items.select(F.col(f"`{item}`").cast("bigint"), F.col(f"`{item_text}`")).dropna().distinct().orderBy(F.col(f"`{item}`")).limit(MOST_ITEMS + 1).collect()
-    item_words = [(r[0], w) for r in picked if (w := words_of(r[1]))]
-    if len(picked) > MOST_ITEMS or sum(len(w) for _, w in item_words) > MOST_ITEM_WORDS:
-        raise ValueError("too many evaluation items for one query set")
-    if not item_words:
-        return spark.createDataFrame([], out)
     vocabulary = {w: i for i, w in enumerate(sorted({w for _, ws in item_words for w in ws}))}
     window = min(least, min(len(w) for _, w in item_words))
     need = max(1, window - 2 * -(-window // each))
@@ -278,5 +298,6 @@ def leaked_items(docs: DataFrame, doc: str, text: str, items: DataFrame, item: s
     owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     item_rows = np.concatenate(rows)
     item_rows /= np.maximum(np.linalg.norm(item_rows, axis=1, keepdims=True), 1e-9)
-    search = _search(space, basis, item_rows, owner, [i for i, _ in item_words], [w for _, w in item_words], least_cosine, least, each, to_arrow_schema(out))
-    return passages.mapInArrow(search, out).distinct()
+    held = docs.sparkSession.sparkContext.broadcast((basis, item_rows, owner))  # bounded by the block
+    search = _search(space, held, [i for i, _ in item_words], [w for _, w in item_words], least_cosine, least, each, to_arrow_schema(out))
+    return passages.mapInArrow(search, out)

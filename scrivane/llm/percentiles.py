@@ -1,9 +1,9 @@
 """Exact percentiles per group by distributed multi-select, and summaries of them that can be merged.
 
-Every partition keeps, per group, a sorted run of its different values with counts. While more values remain for a wanted rank
-than one task should hold, each run proposes the median of its part of the range that remains, the weighted median of the
-proposals becomes the pivot, the runs count three ways, and the range without the rank is
-discarded. What remains then is gathered, at most ``gather`` values for a rank, and the rank is read off. A group of no more values than that needs no round.
+Every partition keeps, per group, a sorted run of its different values with counts. The runs propose the median of their part of the
+range that remains for a wanted rank, the weighted median of the proposals becomes the pivot, the runs count three ways, the range without the
+rank is discarded, and so on until the value is found. Every group goes this way. Only where its runs meet differs: ranges of
+up to LOCAL values meet in one task, one after another; the runs of larger ones stay where they are, and what meets are proposals and counts.
 """
 
 from __future__ import annotations
@@ -20,8 +20,8 @@ from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, Stru
 
 from scrivane.session import materialize, shuffle_partitions
 
-#: Values that a task gathers for a rank, ranks that are narrowed at once, rows that are sorted at a time.
-GATHER, AT_ONCE, RUN_ROWS = 65_536, 100_000, 500_000
+#: Values up to which a group's runs meet in one task; ranks of larger groups that are narrowed at once; rows that are sorted at a time.
+LOCAL, AT_ONCE, RUN_ROWS = 4_096, 20_000, 500_000
 
 
 def _sort_runs(schema: pa.Schema):
@@ -114,40 +114,52 @@ def _count(vals, counts, no, lo, hi, pivot):
     return (int(counts[a:p].sum()), int(counts[p:q].sum())) if q > a else None
 
 
+def select_rank(runs: list[tuple[np.ndarray, np.ndarray]], rank: int, n: int) -> float:
+    """The value of a rank among runs (values in order, counts) of n values in all: the rounds that larger groups go through over partitions."""
+    w = Range(None, 0, rank, n)
+    while w.value is None:
+        proposals = sorted(p for vals, counts in runs if (p := _propose(vals, counts, 0, w.lo, w.hi, None)))
+        half, pivot = sum(x[1] for x in proposals) / 2, 0.0
+        for pivot, weight in proposals:
+            half -= weight
+            if half <= 0:
+                break
+        ways = [c for vals, counts in runs if (c := _count(vals, counts, 0, w.lo, w.hi, pivot))]
+        w.narrow(pivot, sum(c[0] for c in ways), sum(c[1] for c in ways))
+    return w.value
+
+
 def _rest(vals, counts, no, lo, hi, _):
     a, b = _between(vals, lo, hi)
     return (vals[a:b].tolist(), counts[a:b].tolist()) if b > a else None
 
 
-def _read_off(quantiles: Sequence[float], wanted: dict | None, schema: pa.Schema):
-    """Values at ranks of all groups of a partition: those of the quantiles, or with ``wanted`` one given rank for each group."""
+def _select_here(quantiles: Sequence[float], wanted: dict | None, schema: pa.Schema):
+    """Groups one after another, as a partition has them in order, their values at the quantiles' ranks, or with ``wanted`` at one given rank for each; no more than one group's runs are held."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        groups, vals, counts, sizes = [], [], [], []
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        group, done = None, []
+
+        def settle() -> None:
+            n = int(sum(c.sum() for _, c in held))
+            ranks = [rank_of(q, n) for q in quantiles] if wanted is None else [wanted[group]]
+            done.append((group, n, [select_rank(held, r, n) for r in ranks]))
+            held.clear()
+
         for b in batches:
-            groups.append(b.column(0))
-            vals.append(b.column(1).flatten().to_numpy())
-            counts.append(b.column(2).flatten().to_numpy())
-            sizes.append(np.diff(b.column(1).offsets.to_numpy()))
-        if not groups:
-            return
-        keys = pa.concat_arrays(groups).dictionary_encode()
-        code = np.repeat(keys.indices.to_numpy(), np.concatenate(sizes))
-        v, c = np.concatenate(vals), np.concatenate(counts)
-        order = np.lexsort((v, code))
-        code, v, c = code[order], v[order], c[order]
-        total = np.cumsum(c)
-        first = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
-        base = np.r_[0, total[first[1:] - 1]]
-        n = np.r_[total[first[1:] - 1], total[-1]] - base
-        key = keys.dictionary.take(pa.array(code[first]))
-        if wanted is not None:
-            ranks = np.array([[wanted[k]] for k in key.to_pylist()])
-        else:
-            ranks = np.array([[rank_of(q, int(m)) for q in quantiles] for m in n])
-        at = np.searchsorted(total, base[:, None] + ranks, "left")
-        out = pa.ListArray.from_arrays(pa.array(np.arange(0, at.size + 1, at.shape[1], dtype=np.int32)), pa.array(v[at.ravel()])).cast(schema.field(2).type)
-        yield pa.RecordBatch.from_arrays([key, pa.array(n), out], schema=schema)
+            for i, g in enumerate(b.column(0).to_pylist()):
+                if held and g != group:
+                    settle()
+                group = g
+                held.append((b.column(1)[i].values.to_numpy(), b.column(2)[i].values.to_numpy()))
+            if len(done) >= 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*done), schema)], schema=schema)
+                done.clear()
+        if held:
+            settle()
+        if done:
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*done), schema)], schema=schema)
 
     return run
 
@@ -157,49 +169,40 @@ def rank_of(q: float, n: int) -> int:
     return min(n, max(1, math.ceil(round(q * n, 9))))
 
 
-def select_from_runs(runs: DataFrame, quantiles: Sequence[float], gather: int = GATHER) -> DataFrame:
+def select_from_runs(runs: DataFrame, quantiles: Sequence[float], local: int = LOCAL) -> DataFrame:
     """(group, n, values): of every group the values at the quantiles' ranks, exactly. runs: see value_runs; it is read several times."""
     spark = runs.sparkSession
     sizes = runs.groupBy("group").agg(F.sum(F.aggregate("counts", F.lit(0).cast("bigint"), lambda a, x: a + x)).alias("n"))
-    large = sizes.filter(F.col("n") > gather)
+    few = materialize(sizes.filter(F.col("n") > local), "large")
+    n_large = few.count()  # at most the number of values divided by local
     out = StructType([runs.schema["group"], StructField("n", LongType()), StructField("values", ArrayType(DoubleType()))])
-    arrow = to_arrow_schema(out)
-    few = materialize(large, "large")
-    at_once = max(1, AT_ONCE // max(1, len(quantiles)))
-    n_large = few.count()  # at most the number of values divided by gather
-    small = runs.join(F.broadcast(few.select("group")) if n_large <= at_once else few.select("group"), "group", "left_anti") if n_large else runs
-    parts = [small.repartition(shuffle_partitions(runs), "group").mapInArrow(_read_off(quantiles, None, arrow), out)]
-    blocks = few.withColumn("b", F.floor(F.row_number().over(_by_group()) / (at_once + 1))) if n_large > at_once else few.withColumn("b", F.lit(0))
-    for block in range(-(-n_large // at_once) + (n_large > at_once)):
-        rows = blocks.filter(F.col("b") == block).select("group", "n").collect()  # at_once groups
-        if not rows:
-            continue
-        wanted = [Range(r[0], k, rank_of(q, r[1]), r[1]) for r in rows for k, q in enumerate(quantiles)]
-        _narrow(runs, wanted, gather)
-        found = [(w.group, w.slot, w.value) for w in wanted if w.value is not None]
-        slots = StructType([runs.schema["group"], StructField("slot", LongType()), StructField("value", DoubleType())])
-        got = spark.createDataFrame(found, slots)
-        rest = {i: w for i, w in enumerate(wanted) if w.value is None}
-        if rest:
-            active = _grouped(rest, lambda i, w: (i, w.lo, w.hi, 0.0))
-            cut = _parse_datatype_string("group bigint, vals array<double>, counts array<bigint>")
-            left = runs.mapInArrow(_over_runs(active, _rest, to_arrow_schema(cut)), cut)
-            one = _parse_datatype_string("group bigint, n bigint, values array<double>")
-            picked = left.repartition(shuffle_partitions(runs), "group").mapInArrow(_read_off((), {i: w.rank - w.below for i, w in rest.items()}, to_arrow_schema(one)), one)
-            names = spark.createDataFrame([(i, w.group, w.slot) for i, w in rest.items()], StructType([StructField("no", LongType()), runs.schema["group"], StructField("slot", LongType())]))
-            got = got.unionByName(picked.select(F.col("group").alias("no"), F.col("values")[0].alias("value")).join(F.broadcast(names), "no").select("group", "slot", "value"))
-        whole = got.groupBy("group").agg(F.transform(F.array_sort(F.collect_list(F.struct("slot", "value"))), lambda s: s["value"]).alias("values"))
-        parts.append(whole.join(blocks.filter(F.col("b") == block).select("group", "n"), "group").select("group", "n", "values"))
-    result = parts[0]
-    for p in parts[1:]:
-        result = result.unionByName(p)
-    return result
-
-
-def _by_group():
-    from pyspark.sql.window import Window
-
-    return Window.orderBy("group")  # only over the few large groups
+    small = runs.join(few.select("group"), "group", "left_anti") if n_large else runs
+    result = small.repartition(shuffle_partitions(runs), "group").sortWithinPartitions("group").mapInArrow(_select_here(quantiles, None, to_arrow_schema(out)), out)
+    if not n_large:
+        return result
+    # The runs of large groups, in blocks of groups that are read one after another.
+    blocks = -(-n_large * max(1, len(quantiles)) // AT_ONCE)
+    block = F.pmod(F.xxhash64("group"), F.lit(blocks)).cast("int")
+    own = runs.join(few.select("group"), "group", "left_semi").withColumn("block", block)
+    large = materialize(own, "runs-of-large", "block")
+    found = []
+    for k in range(blocks):
+        wanted = [Range(r[0], i, rank_of(q, r[1]), r[1]) for r in few.filter(block == k).collect() for i, q in enumerate(quantiles)]  # about AT_ONCE ranks
+        here = large.filter(F.col("block") == k).drop("block")
+        _narrow(here, wanted, local)
+        left = {i: w for i, w in enumerate(wanted) if w.value is None}
+        active = _grouped(left, lambda i, w: (i, w.lo, w.hi, 0.0))
+        cut, one = _parse_datatype_string("no bigint, vals array<double>, counts array<bigint>"), _parse_datatype_string("no bigint, n bigint, values array<double>")
+        rest = here.mapInArrow(_over_runs(active, _rest, to_arrow_schema(cut)), cut).repartition(shuffle_partitions(runs), "no").sortWithinPartitions("no")
+        rest = rest.mapInArrow(_select_here((), {i: w.rank - w.below for i, w in left.items()}, to_arrow_schema(one)), one).select("no", F.col("values")[0].alias("value"))
+        slots = StructType([StructField("no", LongType()), runs.schema["group"], StructField("slot", LongType()), StructField("known", DoubleType())])
+        names = spark.createDataFrame([(i, w.group, w.slot, w.value) for i, w in enumerate(wanted)], slots)
+        found.append(materialize(names.join(rest, "no", "left").select("group", "slot", F.coalesce("known", "value").alias("value")), "found"))
+    got = found[0]
+    for f in found[1:]:
+        got = got.unionByName(f)
+    whole = got.groupBy("group").agg(F.transform(F.array_sort(F.collect_list(F.struct("slot", "value"))), lambda s: s["value"]).alias("values"))  # the quantiles
+    return result.unionByName(whole.join(few, "group").select("group", "n", "values"))
 
 
 def _grouped(wanted: dict[int, Range], entry) -> dict:
@@ -209,14 +212,15 @@ def _grouped(wanted: dict[int, Range], entry) -> dict:
     return out
 
 
-def _narrow(runs: DataFrame, wanted: list[Range], gather: int) -> None:
-    """Rounds of proposing, counting and discarding, until for each rank the value is found or few enough values remain."""
+def _narrow(runs: DataFrame, wanted: list[Range], local: int) -> None:
+    """Rounds of proposing, counting and discarding, until the value of each rank is found or what remains may meet in a task, where the rounds go on."""
     proposals = _parse_datatype_string("no bigint, median double, weight bigint")
     counted = _parse_datatype_string("no bigint, less bigint, equal bigint")
-    while open_ := {i: w for i, w in enumerate(wanted) if w.value is None and w.left > gather}:
+    while open_ := {i: w for i, w in enumerate(wanted) if w.value is None and w.left > local}:
         active = _grouped(open_, lambda i, w: (i, w.lo, w.hi, 0.0))
         medians = runs.mapInArrow(_over_runs(active, _propose, to_arrow_schema(proposals)), proposals)
-        pivots = {r[0]: 0.0 if math.isnan(r[1]) else r[1] for r in medians.groupBy("no").agg(F.percentile("median", F.lit(0.5), F.col("weight")).alias("p")).collect()}  # one row for each open rank; NaN lies between the infinities
+        middle = F.percentile("median", F.lit(0.5), F.col("weight")).alias("p")
+        pivots = {r[0]: 0.0 if math.isnan(r[1]) else r[1] for r in medians.groupBy("no").agg(middle).collect()}  # one row for each open rank; NaN lies between the infinities
         active = _grouped(open_, lambda i, w: (i, w.lo, w.hi, pivots[i]))
         ways = runs.mapInArrow(_over_runs(active, _count, to_arrow_schema(counted)), counted)
         sums = {r[0]: r for r in ways.groupBy("no").agg(F.sum("less").alias("less"), F.sum("equal").alias("equal")).collect()}
@@ -224,30 +228,58 @@ def _narrow(runs: DataFrame, wanted: list[Range], gather: int) -> None:
             w.narrow(pivots[i], *((sums[i][1], sums[i][2]) if i in sums else (0, 0)))
 
 
-def percentiles(df: DataFrame, group: str, value: str, quantiles: Sequence[float], gather: int = GATHER) -> DataFrame:
+def percentiles(df: DataFrame, group: str, value: str, quantiles: Sequence[float], local: int = LOCAL) -> DataFrame:
     """(group, n, values): per group the number of values and those at the quantiles, exact (each is a value that occurs).
 
     NULL and NaN values and NULL groups are left out; a group without other values has no row. Ties are values like others. Repeated rows count
     as often as they occur. Infinite values count. An empty table gives no rows; other columns are not read.
     """
-    return select_from_runs(materialize(value_runs(df, group, value), "runs"), quantiles, gather)
+    return select_from_runs(materialize(value_runs(df, group, value), "runs"), quantiles, local)
 
 
-def summary(df: DataFrame, group: str, value: str, steps: int = 100, gather: int = GATHER) -> DataFrame:
+def summary(df: DataFrame, group: str, value: str, steps: int = 100, local: int = LOCAL) -> DataFrame:
     """(group, n, points): a form of bounded size that can be merged; points are (value, weight) in order of value.
 
     The points are the exact percentiles at i/steps; the weight of a point is the number of ranks it stands for. A quantile read
     from it is off by less than n/steps ranks, and so is one from summaries merged, n being the sum.
     """
-    at = percentiles(df, group, value, [i / steps for i in range(steps + 1)], gather)
+    at = percentiles(df, group, value, [i / steps for i in range(steps + 1)], local)
     rank = lambda i: F.greatest(F.lit(1).cast("bigint"), F.ceil(i * F.col("n") / steps))
     points = F.transform("values", lambda v, i: F.struct(v.alias("value"), F.when(i == 0, F.lit(1).cast("bigint")).otherwise(rank(i) - rank(i - 1)).alias("weight")))
     return at.select("group", "n", F.filter(points, lambda p: p["weight"] > 0).alias("points"))
 
 
-def merge_summaries(parts: DataFrame) -> DataFrame:
-    """Summaries of separate loads (a union of them), merged per group into one of the same form."""
-    return parts.groupBy("group").agg(F.sum("n").alias("n"), F.array_sort(F.flatten(F.collect_list("points"))).alias("points"))  # as many points as loads times steps
+def _thin(steps: int, schema: pa.Schema):
+    """Points in order of value, of which each step of n/steps ranks keeps the last, with the weight of those before it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            points = []
+            for own in b.column(2).to_pylist():
+                own.sort(key=lambda p: p["value"])
+                total = sum(p["weight"] for p in own)
+                out, upto, last = [], 0, -1
+                for p in own:
+                    upto += p["weight"]
+                    step = -(-upto * steps // total)
+                    if step == last and len(own) > steps + 1:
+                        out[-1] = {"value": p["value"], "weight": out[-1]["weight"] + p["weight"]}
+                    else:
+                        out.append(p)
+                    last = step
+                points.append(out)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(points, schema.field(2).type)], schema=schema)
+
+    return run
+
+
+def merge_summaries(parts: DataFrame, steps: int = 1000) -> DataFrame:
+    """Summaries of separate loads (a union of them), merged per group into one of the same form, of about ``steps`` points at most.
+
+    A quantile read from it is off by what the parts were off in sum, n/steps ranks more for each merge that thinned them.
+    """
+    joined = parts.groupBy("group").agg(F.sum("n").alias("n"), F.flatten(F.collect_list("points")).alias("points"))  # as many points as loads times steps
+    return joined.mapInArrow(_thin(steps, to_arrow_schema(joined.schema)), joined.schema)
 
 
 def read_summary(summaries: DataFrame, quantiles: Sequence[float]) -> DataFrame:

@@ -71,10 +71,14 @@ def p7_merged_loads(spark: SparkSession, d: str) -> DataFrame:
 
 #: A parameter of the queries: the rank file of a public byte-level vocabulary.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+#: Kinds of containers that may be filled at once; more are refused.
+MOST_KINDS = 1000
 
 
 def p8_packed(spark: SparkSession, d: str) -> DataFrame:
-    kinds = {r[0]: r[1] for r in table(spark, d, "container_sizes").select("container", "capacity_tokens").limit(1000).collect()}
+    kinds = {r[0]: r[1] for r in table(spark, d, "container_sizes").select("container", "capacity_tokens").limit(MOST_KINDS + 1).collect()}
+    if len(kinds) > MOST_KINDS:
+        raise ValueError(f"more than {MOST_KINDS} kinds of containers")
     return pack_texts(table(spark, d, "documents"), "doc_id", "text", kinds, VOCABULARY).withColumnRenamed("doc", "doc_id")
 
 

@@ -18,12 +18,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
-from pyspark.sql.window import Window
+
+from scrivane.session import materialize
 
 #: Tokens that lead from the root to a leaf, after the site and the number of tokens.
 DEPTH = 3
 #: Lines that a partition's trees hold before they are sent on.
 HELD_LINES = 400_000
+#: Parts that a site's rows are spread over when they meet what is known of it.
+SALTS = 16
 #: The slot that stands for any run of digits.
 SLOT = "0"
 _DIGITS = re.compile(r"\d+")
@@ -101,10 +104,13 @@ def repeated_lines(docs: DataFrame, doc: str, site: str, text: str, least_docs:
     """
     src = docs.select(F.col(f"`{site}`").alias("site"), F.col(f"`{doc}`").cast("bigint").alias("doc"), F.col(f"`{text}`").alias("text")).filter("site is not null and text is not null and doc is not null")
     schema = _parse_datatype_string(_PARTIAL)
-    trees = src.mapInArrow(_grow(to_arrow_schema(schema)), schema)
+    trees = materialize(src.mapInArrow(_grow(to_arrow_schema(schema)), schema), "trees")
+    every = lambda df: df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    # Trees are merged by their numbers alone; where lines stand is asked for again, of those found only, and spread over tasks.
     sizes = src.groupBy("site").agg(F.count(F.lit(1)).alias("site_docs"))
-    merged = trees.withColumn("in_docs", F.sum("n_docs").over(Window.partitionBy("site", "h1", "h2"))).filter(F.col("in_docs") >= least_docs)
-    hits = merged.join(sizes, "site").filter(F.col("in_docs") >= F.col("site_docs") * least_share)
+    merged = trees.groupBy("site", "h1", "h2").agg(F.sum("n_docs").alias("in_docs")).filter(F.col("in_docs") >= least_docs).withColumn("salt", F.pmod("h1", F.lit(SALTS)).cast("int"))
+    often = merged.join(every(sizes), ["site", "salt"]).filter(F.col("in_docs") >= F.col("site_docs") * least_share).select("site", "h1", "h2")
+    hits = trees.withColumn("salt", F.pmod(F.element_at("docs", 1), F.lit(SALTS)).cast("int")).join(every(often), ["site", "h1", "h2", "salt"], "left_semi")
     return hits.select(F.inline(F.arrays_zip("docs", "line_nos")).alias("doc", "nos")).select("doc", F.explode("nos").alias("line_no"))
 
 

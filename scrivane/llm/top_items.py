@@ -126,21 +126,29 @@ def _as_runs(t: pa.Table, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
 
 
 def _merge(n: int, schema: pa.Schema):
+    """Bucket after bucket, as a partition has them in order; no more than one bucket's runs are held."""
+
+    def merged(runs: list) -> Iterator[pa.RecordBatch]:
+        rows, place, last, out = list(merge_runs(runs, n)), 0, None, []
+        for r in rows:
+            place, last = (place + 1 if r[0] == last else 1), r[0]
+            out.append(place)
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(([r[0] for r in rows], [r[2] for r in rows], [r[3] for r in rows], out), schema)], schema=schema)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_bucket: dict[int, list] = {}
+        held: list = []
+        at = None
         for b in batches:
             for i, bucket in enumerate(b.column(0).to_pylist()):
+                if bucket != at:
+                    yield from merged(held)
+                    held, at = [], bucket
                 g, s, x = (b.column(j)[i].values for j in (1, 2, 3))
-                by_bucket.setdefault(bucket, []).append(list(zip(g.to_pylist(), pc.negate(s).to_pylist(), x.to_pylist(), s.to_pylist())))
-                if len(by_bucket[bucket]) >= 64:  # a run of runs, so that what is held stays small
-                    by_bucket[bucket] = [list(merge_runs(by_bucket[bucket], n))]
-        for runs in by_bucket.values():
-            rows = list(merge_runs(runs, n))
-            place, last, out = 0, None, []
-            for r in rows:
-                place, last = (place + 1 if r[0] == last else 1), r[0]
-                out.append(place)
-            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(([r[0] for r in rows], [r[2] for r in rows], [r[3] for r in rows], out), schema)], schema=schema)
+                held.append(list(zip(g.to_pylist(), pc.negate(s).to_pylist(), x.to_pylist(), s.to_pylist())))
+                if len(held) >= 64:  # a run of runs, so that what is held stays small
+                    held = [list(merge_runs(held, n))]
+        yield from merged(held)
 
     return run
 
@@ -162,7 +170,7 @@ def merge_top(runs: DataFrame, n: int) -> DataFrame:
     """(group, item, score, place) from bucketed runs."""
     t = runs.schema
     schema = StructType([StructField("group", t["groups"].dataType.elementType), StructField("item", t["items"].dataType.elementType), StructField("score", t["scores"].dataType.elementType), StructField("place", LongType())])
-    return runs.repartition(shuffle_partitions(runs), "bucket").mapInArrow(_merge(n, to_arrow_schema(schema)), schema)
+    return runs.repartition(shuffle_partitions(runs), "bucket").sortWithinPartitions("bucket").mapInArrow(_merge(n, to_arrow_schema(schema)), schema)
 
 
 def top_items(df: DataFrame, group: str, score: str, item: str, n: int) -> DataFrame:
