@@ -2,7 +2,7 @@
 
     python -m scrivane.cli [--patterns-dir DIR] [--output terminal|json] COMMAND ...
 
-Pages come from tables or files; nothing is fetched from a network unless the caller names a Python function for it (--fetcher module:function).
+Pages come from tables or files; URLs are fetched by a Python function if one is named (--fetcher module:function), else over HTTP.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ from scrivane.patterns.library import HERE, load_patterns, load_weights, pattern
 from scrivane.session import local_session
 from scrivane.sources import discovery, documents, output
 from scrivane.streaming.refresh import SCANS, SCORES, Refresher
+from scrivane.streaming.worker import run_worker
 
 #: Fewest words of a page that is kept when many are scanned, and below which a single one is warned of.
 SCAN_WORDS, WARN_WORDS = 50, 100
@@ -35,7 +36,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--patterns-dir", default=os.environ.get("SCRIVANE_PATTERNS_DIR", str(HERE)))
     p.add_argument("--output", choices=["terminal", "json"], default="terminal")
     p.add_argument("--store", default="scrivane-store", help="folder of the tables")
-    p.add_argument("--fetcher", help="module:function from a URL to (URL, markup)")
+    p.add_argument("--fetcher", help="module:function from a URL to (status, URL, markup) or (URL, markup)")
     sub = p.add_subparsers(dest="command", required=True)
     c = sub.add_parser("analyze", help="score one file, URL or text")
     c.add_argument("target", nargs="?")
@@ -48,9 +49,10 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--save", action="store_true")
     c.add_argument("--min-words", type=int, default=SCAN_WORDS)
     c.add_argument("--no-skip-existing", action="store_true")
-    c = sub.add_parser("discover", help="URLs of a site from sitemaps and feeds that were saved as files")
+    c = sub.add_parser("discover", help="URLs of a site from its sitemaps and feeds, fetched or saved as files")
     c.add_argument("domain")
-    c.add_argument("--bodies", required=True, help="folder with the sitemap and feed documents")
+    c.add_argument("--bodies", help="folder with sitemap and feed documents; without it they are fetched")
+    c.add_argument("--type", choices=["auto", "sitemap", "rss"], default="auto")
     c.add_argument("-o", "--out")
     c.add_argument("--limit", type=int, default=0)
     c.add_argument("--filter-ext", default=".html,.htm,/")
@@ -60,8 +62,17 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--skip-patterns", default="")
     c.add_argument("--no-skip-existing", action="store_true")
     c.add_argument("--rescan-stale", action="store_true")
-    c = sub.add_parser("worker", help="merge documents that arrive as files, in cycles")
-    c.add_argument("--inbox", required=True, help="folder of parquet files with url, domain, file_path, text, scanned_at, published_date, title")
+    c = sub.add_parser("worker", help="discover and scan sites in cycles, or merge documents that arrive as files")
+    c.add_argument("--inbox", help="folder of parquet files with url, domain, file_path, text, scanned_at, published_date, title; without it sites are scanned")
+    c.add_argument("--domains-file")
+    c.add_argument("--exclude-domains-file")
+    c.add_argument("--failed-log")
+    c.add_argument("--limit", type=int, default=200)
+    c.add_argument("--trending", type=int, default=0, help="hosts of top stories to add in each cycle")
+    c.add_argument("--fresh", type=int, default=0, help="hosts of new stories to add in each cycle")
+    c.add_argument("--skip-patterns", default="")
+    c.add_argument("--no-skip-existing", action="store_true")
+    c.add_argument("--no-rescan-stale", action="store_true")
     c.add_argument("--interval", type=int, default=60, help="minutes")
     c.add_argument("--max-cycles", type=int, default=0, help="1: take what is there and end")
     c = sub.add_parser("patterns", help="the pattern library")
@@ -72,7 +83,7 @@ def parser() -> argparse.ArgumentParser:
 
 def _fetcher(name: str | None):
     if not name:
-        sys.exit("URLs need --fetcher module:function")
+        return discovery.http_fetcher()
     module, _, function = name.partition(":")
     return getattr(importlib.import_module(module), function)
 
@@ -99,7 +110,7 @@ def _show(df: DataFrame, args, one: bool = False) -> None:
     if args.output == "json":
         print(output.json_text(df, one))
     else:
-        df.show(1000, truncate=False)
+        print(output.table_text(df))
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> None:
@@ -110,7 +121,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     if args.command == "patterns":
         table = patterns_table(spark, patterns)
         if args.what == "versions":
-            table = analytics.pattern_status(scores.read(SCORES).withColumnRenamed("url", "scan_id"), table)
+            table = analytics.pattern_status(scores.read(SCORES).withColumnRenamed("scan_key", "scan_id"), table)
         elif args.what == "show":
             table = table.filter(F.col("id") == args.id)
         else:
@@ -132,14 +143,30 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
             chosen = profiles_table(spark, {args.compare_model: profile(args.compare_model, args.patterns_dir)})
             near = similarity_map(model_similarity(long_results(scored, ["source"]), chosen, ["source"]), ["source"])
             result = result.join(near, "source", "left")
-        return _show(result if args.output == "json" else result.drop("results"), args, one=True)
+        if args.output == "terminal":
+            _show(output.category_table(scored.select("source", "categories")), args)
+        return _show(result if args.output == "json" else result.drop("results", "categories"), args, one=True)
     if args.command == "discover":
+        if not args.bodies:
+            sites = spark.createDataFrame([(args.domain,)], "site string").select(base_url(F.col("site")).alias("base"))
+            found = discovery.discover_urls(sites, _fetcher(args.fetcher), args.type).filter("url is not null").select("base", "url").cache()
+            base = found.select("base").first()
+            urls = analytics.article_urls(found.select("url"), base[0] if base else "", [e for e in args.filter_ext.split(",") if e]).orderBy("url")
+            urls = urls.limit(args.limit) if args.limit else urls
+            return output.write_urls(urls, args.out) if args.out else _show(urls, args)
         bodies = documents.read_files(spark, args.bodies).select(F.lit(args.domain).alias("site"), F.col("text").alias("body")).withColumn("base", base_url(F.col("site")))
         urls = discovery.sitemap_urls(bodies).unionByName(discovery.feed_urls(bodies)).select("url").distinct()
         base = bodies.select("base").first()
         urls = analytics.article_urls(urls, base[0] if base else "", [e for e in args.filter_ext.split(",") if e]).orderBy("url")
         urls = urls.limit(args.limit) if args.limit else urls
         return output.write_urls(urls, args.out) if args.out else _show(urls, args)
+    if args.command == "worker" and not args.inbox:
+        lines = lambda p: documents.domain_list(spark.read.text(p)) if p else spark.createDataFrame([], "domain string")
+        run_worker(
+            Refresher(spark, args.store, patterns, weights), lines(args.domains_file), _fetcher(args.fetcher), args.max_cycles, args.interval, args.failed_log, lines(args.exclude_domains_file), args.trending, args.fresh,
+            limit=args.limit, skip=[s for s in args.skip_patterns.split(",") if s], skip_existing=not args.no_skip_existing, rescan_stale=not args.no_rescan_stale,
+        )
+        return None
     if args.command == "worker":
         stream = spark.readStream.schema("url string, domain string, file_path string, text string, scanned_at timestamp, published_date date, title string").parquet(args.inbox)
         query = Refresher(spark, args.store, patterns, weights).run(stream, None if args.max_cycles == 1 else f"{max(args.interval, 1)} minutes")
@@ -148,8 +175,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     old = scans.read(SCANS)
     if args.command == "track":
         current = patterns_table(spark, patterns)
-        own = scores.read(SCORES).withColumnRenamed("url", "scan_id")
-        stale = analytics.stale_urls(old.withColumn("id", F.col("url")), own, current) if args.rescan_stale else None
+        own = scores.read(SCORES).withColumnRenamed("scan_key", "scan_id")
+        stale = analytics.stale_urls(old.withColumn("id", F.col("scan_key")), own, current) if args.rescan_stale else None
         found = analytics.work_list(found, old, stale, not args.no_skip_existing, [s for s in args.skip_patterns.split(",") if s]).orderBy("url").limit(args.limit)
     elif args.save and not args.no_skip_existing:
         found = analytics.new_urls(found, old)

@@ -10,9 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from scrivane.operators.heavy_keys import key_totals
 from scrivane.operators.scoring import AI, BETWEEN, HUMAN
 from scrivane.patterns.library import CATEGORIES
+from scrivane.session import broadcast_small
 
 
 def _labels() -> list[Column]:
@@ -39,14 +39,16 @@ def global_stats(scans: DataFrame) -> DataFrame:
 
 
 def domain_leaderboard(scans: DataFrame, limit: int | None = 100) -> DataFrame:
-    """Domains by mean score (all of them, without order, for no limit), from one pass of key totals, which heavy domains don't hold up."""
-    named = scans.filter("domain <> ''")
-    own = key_totals(named, "domain", ["score"])
-    latest = named.groupBy("domain").agg(F.max("scanned_at").alias("latest"))
-    board = own.select(F.col("key").alias("domain"), F.col("n_rows").alias("scans"), F.round(F.try_divide("score_sum", "score_count"), 1).alias("avg_score"), F.col("score_max").cast("int").alias("max_score"))
-    if limit is not None:
-        board = board.orderBy(F.desc_nulls_last("avg_score"), "domain").limit(limit)
-    return board.join(latest, "domain")
+    """(domain, scans, avg_score, max_score, latest, place): domains by mean score, best first; for no limit all of them, without order and place.
+
+    One aggregation; a heavy domain is one row of each split before it is shuffled.
+    """
+    measures = [F.count(F.lit(1)).alias("scans"), F.round(F.avg("score"), 1).alias("avg_score"), F.max("score").alias("max_score"), F.max("scanned_at").alias("latest")]
+    board = scans.filter("domain <> ''").groupBy("domain").agg(*measures)
+    if limit is None:
+        return board
+    order = [F.desc_nulls_last("avg_score"), F.asc("domain")]
+    return board.orderBy(*order).limit(limit).withColumn("place", F.row_number().over(Window.orderBy(*order))).orderBy("place")  # no more rows than the limit
 
 
 def leaderboard_percentile(board: DataFrame) -> DataFrame:
@@ -112,10 +114,13 @@ def category_averages(scans: DataFrame, recent: int = 20) -> DataFrame:
     return new.groupBy("domain").agg(F.count(F.lit(1)).alias("scans"), *(F.round(F.avg(F.col("categories")[c]), 6).alias(c) for c in CATEGORIES))
 
 
-def pattern_stats(scores: DataFrame) -> DataFrame:
-    """Mean score and rows of each pattern, highest first; NaN counts as no score."""
+def pattern_stats(scores: DataFrame, catalog: DataFrame | None = None) -> DataFrame:
+    """Mean score and rows of each pattern, highest first; NaN counts as no score. With a catalog, what it says of the pattern follows (NULL for one it doesn't have)."""
     v = F.when(~F.isnan("norm_score"), F.col("norm_score"))
-    return scores.groupBy("pattern_id").agg(F.min("category").alias("category"), F.round(F.avg(v), 6).alias("avg_score"), F.count(F.lit(1)).alias("occurrences")).orderBy(F.desc_nulls_last("avg_score"), "pattern_id")
+    stats = scores.groupBy("pattern_id").agg(F.min("category").alias("category"), F.round(F.avg(v), 6).alias("avg_score"), F.count(F.lit(1)).alias("occurrences"))
+    if catalog is not None:
+        stats = stats.join(catalog.select(F.col("id").alias("pattern_id"), "name", "description", "detection_type", "version", "severity"), "pattern_id", "left")
+    return stats.orderBy(F.desc_nulls_last("avg_score"), "pattern_id")
 
 
 def pattern_versions(scores: DataFrame) -> DataFrame:
@@ -136,7 +141,7 @@ def stale_urls(scans: DataFrame, scores: DataFrame, patterns: DataFrame, domain:
     """
     current = patterns.select(F.col("id").alias("pattern_id"), F.col("version").alias("__v"), F.coalesce("hash", F.lit("")).alias("__h"))
     old = (F.col("pattern_version") < F.col("__v")) | ((F.col("__h") != "") & (F.coalesce("pattern_hash", F.lit("")) != F.col("__h")))
-    stale = scores.select("scan_id", "pattern_id", "pattern_version", "pattern_hash").join(F.broadcast(current), "pattern_id").filter(old).select(F.col("scan_id").alias("id")).distinct()
+    stale = scores.select("scan_id", "pattern_id", "pattern_version", "pattern_hash").join(broadcast_small(current), "pattern_id").filter(old).select(F.col("scan_id").alias("id")).distinct()
     own = scans.filter("url is not null")
     if domain is not None:
         own = own.filter(F.col("domain") == domain)
@@ -173,12 +178,23 @@ def article_urls(urls: DataFrame, base: str, endings: list[str]) -> DataFrame:
     return kept if kept.limit(3).count() == 3 else urls
 
 
+def site_article_urls(urls: DataFrame, endings: list[str]) -> DataFrame:
+    """article_urls for the URLs of many sites at once: (base, url) -> (base, url), where a site with fewer than three article URLs keeps all."""
+    rest = F.regexp_replace(F.expr("substring(url, length(base) + 1)"), "^/+", "")
+    keep = F.contains(rest, F.lit("/"))
+    for e in endings:
+        keep = keep | F.endswith("url", F.lit(e))
+    flagged = urls.select("base", "url", keep.alias("keep"))
+    few = flagged.groupBy("base").agg(F.sum(F.col("keep").cast("int")).alias("n")).filter("n < 3").select("base")
+    return flagged.filter("keep").select("base", "url").unionByName(flagged.filter("not keep").join(few, "base", "left_semi").select("base", "url"))
+
+
 def trending_domains(stories: DataFrame, excluded: DataFrame, top: int = 25, least: int = 2, limit: int = 500) -> DataFrame:
     """(domain, stories) of the hosts with most stories among the first ``limit``; of equal ones the first to be seen."""
     from scrivane.functions.text import host
 
     first = stories.filter("url is not null").orderBy("position").limit(limit).withColumn("domain", host(F.col("url")))
-    own = first.filter("domain is not null").join(F.broadcast(excluded.select("domain")), "domain", "left_anti")
+    own = first.filter("domain is not null").join(broadcast_small(excluded.select("domain")), "domain", "left_anti")
     return own.groupBy("domain").agg(F.count(F.lit(1)).alias("stories"), F.min("position").alias("first")).filter(F.col("stories") >= least).orderBy(F.desc("stories"), "first").limit(top).select("domain", "stories")
 
 
@@ -192,6 +208,14 @@ def outcome_counts(outcomes: DataFrame) -> DataFrame:
     return outcomes.groupBy("status").agg(F.count(F.lit(1)).alias("domains"), F.coalesce(F.sum("saved"), F.lit(0)).alias("saved"))
 
 
+def scan_status(outcomes: DataFrame, domains: DataFrame | None = None) -> DataFrame:
+    """(domain, status, at): the newest outcome of each domain; with ``domains``, of these, "unknown" where there is none."""
+    last = outcomes.groupBy("domain").agg(F.max(F.struct("at", "status")).alias("m")).select("domain", F.col("m.status").alias("status"), F.col("m.at").alias("at"))
+    if domains is None:
+        return last
+    return domains.select("domain").distinct().join(last, "domain", "left").select("domain", F.coalesce("status", F.lit("unknown")).alias("status"), "at")
+
+
 def category_report(scores: DataFrame) -> DataFrame:
     """Mean and rows by category and pattern, with subtotals."""
     v = F.when(~F.isnan("norm_score"), F.col("norm_score"))

@@ -6,7 +6,9 @@ once, behind a generator that keeps the optimizer from copying them into every d
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scrivane.functions import text as T
@@ -132,13 +134,28 @@ def result(p: Pattern, raw: Column) -> Column:
     return F.struct(F.lit(p.id).alias("pattern_id"), F.lit(p.category).alias("category"), raw.alias("raw_value"), norm.cast("double").alias("norm_score"), F.lit(p.weight).alias("weight"), label_text(p, raw).alias("label"), F.lit(p.version).alias("pattern_version"), F.lit(p.hash).alias("pattern_hash"))
 
 
+def compiles(spark: SparkSession, p: Pattern) -> bool:
+    """Whether the engine can run a pattern's expressions: one that it can't must not end the job."""
+    expressions = [T.java_regex(x, "iu") for c in ("patterns", "text_patterns") for x in (p.params.get(c) or []) if p.detection_type in ("regex", "html_regex")]
+    try:
+        compiler = spark._jvm.java.util.regex.Pattern
+    except AttributeError:  # a client without a JVM of its own
+        return True
+    try:
+        for x in expressions:
+            compiler.compile(x)
+    except (Py4JError, PySparkException):
+        return False
+    return True
+
+
 def score_documents(df: DataFrame, patterns: list[Pattern], weights: dict[str, float], text: str = "text", raw_html: str | None = None, frequencies: DataFrame | None = None, key: str | None = None) -> DataFrame:
     """df with n_words, results (an array, one struct per pattern), categories (a struct), index and verdict.
 
     Patterns that can't be built are left out of results and weights. With ``frequencies`` (word, zipf), ``key`` must name a unique column: the scores
     of word_freq_variance then come from it. NULL and empty texts have score 0 throughout, but for an index from absent questions.
     """
-    use = [p for p in patterns if usable(p)]
+    use = [p for p in patterns if usable(p) and compiles(df.sparkSession, p)]
     phrases = [p for p in use if p.detection_type == "frequency"]
     at = {p.id: i for i, p in enumerate(phrases)}
     d = DocumentColumns()

@@ -101,13 +101,23 @@ def _blocks(held: DenseArrays, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
 
 def _sum_blocks(n_values: int, schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for b in batches:
-            cols = [c.flatten() for c in b.columns[1:]]
-            held = held or DenseArrays(cols[0].type, n_values)
-            block = np.repeat(b.column(0).to_numpy(), np.diff(b.column(1).offsets.to_numpy()))
+        held, waiting, size = None, [], 0
+
+        def take() -> None:
+            cols = [pa.concat_arrays([b.column(i).flatten() for b in waiting]) for i in range(1, waiting[0].num_columns)]
+            block = np.concatenate([np.repeat(b.column(0).to_numpy(), np.diff(b.column(1).offsets.to_numpy())) for b in waiting])
             arrays = [c.to_numpy() for c in cols[1:]]
             held.add(cols[0], block, arrays[0], [arrays[1 + 4 * i : 5 + 4 * i] for i in range(n_values)])
+
+        for b in batches:
+            held = held or DenseArrays(b.column(1).type.value_type, n_values)
+            waiting.append(b)
+            size += len(b.column(1).flatten())
+            if size >= max(CHUNK_ROWS, len(held.keys)):  # the dictionary is encoded again for as many entries as it has
+                take()
+                waiting, size = [], 0
+        if size:
+            take()
         if held is not None:
             out = [held.keys, pa.array(held.rows)]
             for n, s, lo, hi in held.parts:

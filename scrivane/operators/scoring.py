@@ -8,15 +8,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scrivane.patterns.library import CATEGORIES, Pattern
+from scrivane.session import broadcast_small
 
 #: Thresholds and names of labels.
 HUMAN_MOST, AI_LEAST = 15, 30
 HUMAN, BETWEEN, AI = "LIKELY HUMAN", "UNCERTAIN", "LIKELY AI"
+#: Models that may be compared at once; more are refused.
+MOST_MODELS = 10_000
 
 
-def clamp(raw: Column, low: float, high: float) -> Column:
-    """0 up to low, 1 from high on, linear between; with low equal to high a step."""
-    return F.when(raw <= low, 0.0).when(raw >= high, 1.0).otherwise(F.try_divide(raw - F.lit(float(low)), F.lit(float(high) - float(low))))
+def clamp(raw: Column, low: Column | float, high: Column | float) -> Column:
+    """0 up to low, 1 from high on, linear between; with low equal to high a step. The bounds are numbers or columns."""
+    low, high = (x if isinstance(x, Column) else F.lit(float(x)) for x in (low, high))
+    return F.when(raw <= low, 0.0).when(raw >= high, 1.0).otherwise(F.try_divide(raw - low, high - low))
 
 
 def category_scores(patterns: list[Pattern], score_of) -> Column:
@@ -50,9 +54,11 @@ def model_similarity(long: DataFrame, profiles: DataFrame, keys: list[str], digi
 
     profiles: (model_id, pattern_id, expected); it doesn't grow with the documents.
     """
-    met = long.join(F.broadcast(profiles), "pattern_id")
+    met = long.join(broadcast_small(profiles), "pattern_id")
     near = met.groupBy(*keys, "model_id").agg(F.bround(1 - F.avg(F.abs(F.col("norm_score") - F.col("expected"))), digits).alias("similarity"))
-    models = [r[0] for r in profiles.select("model_id").distinct().limit(10_000).collect()]
+    models = [r[0] for r in profiles.select("model_id").distinct().limit(MOST_MODELS + 1).collect()]
+    if len(models) > MOST_MODELS:
+        raise ValueError(f"more than {MOST_MODELS} models")
     every = long.select(*keys).distinct().select(*keys, F.explode(F.array(*(F.lit(m) for m in models))).alias("model_id"))
     return every.join(near, [*keys, "model_id"], "left").select(*keys, "model_id", F.coalesce("similarity", F.lit(0.0)).alias("similarity"))
 

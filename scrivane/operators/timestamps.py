@@ -8,6 +8,7 @@ expressions; the zone lookup is a dimension whose size is checked.
 
 from __future__ import annotations
 
+import re
 from datetime import datetime, timezone
 from itertools import chain
 from zoneinfo import ZoneInfo
@@ -62,12 +63,23 @@ def zone_abbreviations(zones: list[str], first_year: int = 1990, last_year: int
     return out
 
 
+_MARK = "\x01"
+
+
 def _fields(t: Column) -> Column:
-    """Array of the nine fields as text, NULL if no pattern fits."""
-    canon = F.lit(None).cast("string")
-    for pattern, groups in reversed(CASCADE):
-        canon = F.when(t.rlike(pattern), F.regexp_replace(t, pattern, "|".join(f"${g}" if g else "" for g in groups))).otherwise(canon)
-    return F.split(canon, r"\|", -1)
+    """Array of the nine fields as text, of another size if no pattern fits.
+
+    The cascade is one expression, each pattern an alternative: a group of an alternative that wasn't taken is empty in the replacement, so that a field is the
+    groups for it of all alternatives behind one another, and each text is read once.
+    """
+    before, refs, whole = 0, [""] * 9, []
+    for pattern, groups in CASCADE:
+        whole.append(pattern.removeprefix("^").removesuffix("$"))
+        for i, g in enumerate(groups):
+            refs[i] += f"${before + g}" if g else ""
+        before += re.compile(pattern.replace(r"\p{L}", "a")).groups
+    bare = F.replace(t, F.lit(_MARK), F.lit(""))
+    return F.split(F.regexp_replace(bare, f"^(?:{'|'.join(whole)})$", _MARK.join(refs)), _MARK, -1)
 
 
 def _utc_text(micros: Column) -> Column:
@@ -111,6 +123,7 @@ def normalize_times(df: DataFrame, fields: list[str], keep: list[str], node: str
     epoch = F.when(whole, F.try_multiply(F.col("t").try_cast("bigint"), unit.cast("bigint"))).when(number.isNotNull(), (number * 1_000_000).cast("bigint"))
 
     src = src.select("*", F.inline(F.array(F.struct(epoch.alias("epoch"), _fields(F.col("t")).alias("a")))))
+    src = src.withColumn("a", F.when(F.size("a") == 9, F.col("a")))
     g = lambda i: F.col("a")[i]
     has_time = g(3) != ""
     month = F.coalesce(g(1).try_cast("int"), F.try_element_at(months, F.translate(F.lower(g(1)), *_ACCENTS)))

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from dataclasses import dataclass, field
 from pathlib import Path
 
@@ -115,7 +116,15 @@ def usable(p: Pattern) -> bool:
         return p.params.get("metric") in METRICS[p.detection_type]
     if p.detection_type == "frequency":
         return bool(p.params.get("terms"))
-    return "patterns" in p.params
+    return "patterns" in p.params and all(_compiles(x) for c in ("patterns", "text_patterns") for x in p.params.get(c) or [])
+
+
+def _compiles(expression: str) -> bool:
+    try:
+        re.compile(expression)
+    except (re.error, TypeError, OverflowError):
+        return False
+    return True
 
 
 def patterns_table(spark: SparkSession, patterns: list[Pattern]) -> DataFrame:

@@ -9,6 +9,7 @@ from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from scrivane.functions import text as T
 from scrivane.operators import analytics as A
@@ -130,7 +131,7 @@ def word_freq_variance(spark, d):
     """With word frequencies of the corpus itself."""
     docs = _docs(spark, d)
     scores = D.word_frequency_scores(docs, "doc_id", "text", D.zipf_table(docs, "text"), {"threshold_low": 0.7, "threshold_high": 1.25})
-    return scores.select("doc_id", F.round("zipf_raw", 3).alias("zipf_raw"))
+    return scores.select("doc_id", "zipf_raw")
 
 
 def _probed(spark, d):
@@ -157,10 +158,15 @@ def pattern_scores_long(spark, d):
     return D.long_results(_probed(spark, d), ["doc_id"]).select("doc_id", "pattern_id", "category", F.round("norm_score", 6).alias("norm_score"), "pattern_version")
 
 
+def library_scores_long(spark, d):
+    """One row for each document and pattern of the library."""
+    return D.long_results(D.score_documents(_docs(spark, d), load_patterns(), load_weights()), ["doc_id"])
+
+
 def normalize_clamp(spark, d):
-    s = _scores(spark, d).join(F.broadcast(table(spark, d, "dim_patterns").select(F.col("id").alias("pattern_id"), F.get_json_object("params", "$.low").cast("double").alias("low"), F.get_json_object("params", "$.high").cast("double").alias("high"))), "pattern_id")
-    norm = F.when(F.col("raw_value") <= F.col("low"), 0.0).when(F.col("raw_value") >= F.col("high"), 1.0).otherwise(F.try_divide(F.col("raw_value") - F.col("low"), F.col("high") - F.col("low")))
-    return s.groupBy("pattern_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(norm), 6).alias("avg_norm"))
+    bounds = table(spark, d, "dim_patterns").select(F.col("id").alias("pattern_id"), *(F.get_json_object("params", f"$.{c}").cast("double").alias(c) for c in ("low", "high")))
+    s = _scores(spark, d).join(F.broadcast(bounds), "pattern_id")
+    return s.groupBy("pattern_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(S.clamp(F.col("raw_value"), F.col("low"), F.col("high"))), 6).alias("avg_norm"))
 
 
 def category_weighted_mean(spark, d):
@@ -181,8 +187,10 @@ def model_similarity(spark, d):
 
 
 def rank_results(spark, d):
-    w = A.domain_scans(_scans(spark, d).filter("domain <> ''"), 3, "highest")
-    return w.select("domain", "id", F.col("place").cast("bigint").alias("place"))
+    """The first 200 of all results, best first."""
+    first = A.rank_results(_scans(spark, d).filter("url is not null").groupBy("url").agg(F.max("score").alias("score"))).limit(200)
+    order = Window.orderBy(F.desc_nulls_last("score"), F.asc_nulls_last("url"))
+    return first.select("url", "score", F.row_number().over(order).cast("bigint").alias("place"))
 
 
 def delta_vector(spark, d):
@@ -210,7 +218,7 @@ def domain_stats(spark, d):
 
 
 def domain_leaderboard(spark, d):
-    return A.domain_leaderboard(_scans(spark, d), 100).select("domain", "scans", "avg_score", "max_score", "latest")
+    return A.domain_leaderboard(_scans(spark, d), 100).select("domain", "scans", "avg_score", "max_score", "latest", F.col("place").cast("bigint").alias("place"))
 
 
 def leaderboard_percentile(spark, d):
@@ -218,7 +226,7 @@ def leaderboard_percentile(spark, d):
 
 
 def quiet_domains(spark, d):
-    return A.quiet_domains(_scans(spark, d), 25).select("domain")
+    return A.quiet_domains(_scans(spark, d), 25)
 
 
 def corpus_percentile(spark, d):
@@ -237,6 +245,21 @@ def pattern_stats(spark, d):
     return A.pattern_stats(_scores(spark, d))
 
 
+def pattern_stats_catalog(spark, d):
+    return A.pattern_stats(_scores(spark, d), table(spark, d, "dim_patterns")).select("pattern_id", "category", "avg_score", "occurrences", "name", "detection_type", "version", "severity")
+
+
+def scan_status(spark, d):
+    """The newest label of every domain as its status."""
+    outcomes = _scans(spark, d).groupBy("domain", "label").agg(F.max("word_count").alias("at")).select("domain", F.col("label").alias("status"), "at")
+    return A.scan_status(outcomes)
+
+
+def outcome_counts(spark, d):
+    """Scans by label as outcomes, their words as what was saved."""
+    return A.outcome_counts(_scans(spark, d).select("domain", F.col("label").alias("status"), F.col("word_count").alias("saved")))
+
+
 def category_report(spark, d):
     return A.category_report(_scores(spark, d))
 
@@ -272,7 +295,7 @@ def trend_last_120(spark, d):
 
 
 def monthly_trend(spark, d):
-    return A.monthly_trend(_scans(spark, d).groupBy("id", "domain", "score").agg(F.min("landed_at").alias("landed_at")), "landed_at").select("domain", "month", "scans")
+    return A.monthly_trend(_scans(spark, d).groupBy("id", "domain", "score").agg(F.min("landed_at").alias("landed_at")), "landed_at")
 
 
 def domain_scans_recent(spark, d):
@@ -296,23 +319,26 @@ def category_avgs_recent20(spark, d):
 
 
 def upsert_latest(spark, d):
-    """Deliveries of scans as a stream of changes: one row per url, the last delivery's values."""
-    s = table(spark, d, "scans").select("url", "domain", "file_path", "score", "title", "published_date", F.col("landed_at").alias("scanned_at"), F.col("id").alias("scan"))
-    merged = store.upsert_scans(s.limit(0), s).filter("url is not null")
-    return merged.select("url", F.date_format("scanned_at", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("at"))
+    """Deliveries of scans up to a day as the table that exists, later ones merged into it: one row per url, all columns."""
+    s = table(spark, d, "scans").select("url", "domain", "file_path", "score", "title", "published_date", F.col("landed_at").alias("scanned_at"), F.col("id").alias("scan")).filter("url is not null")
+    early = F.col("scanned_at") < F.lit("2025-07-01").cast("timestamp")
+    existing = store.upsert_scans(s.limit(0), s.filter(early))
+    merged = store.upsert_scans(existing, s.filter(~early | F.col("scanned_at").isNull()))
+    return merged.select("url", "domain", "file_path", "score", "title", "published_date", "scan", F.date_format("scanned_at", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("at"))
 
 
 def replace_children(spark, d):
     """The rows of rescanned scans replaced by one row each."""
     old = _scores(spark, d).select("scan_id", "pattern_id", "pattern_version")
     fresh = old.filter("pattern_version < 2").groupBy("scan_id").agg(F.lit("rescan").alias("pattern_id"), F.max("pattern_version").alias("pattern_version"))
-    return store.replace_children(old, fresh, "scan_id").groupBy("pattern_id").agg(F.count(F.lit(1)).alias("n"))
+    return store.replace_children(old, fresh, "scan_id").groupBy("scan_id").agg(F.count(F.lit(1)).alias("n"), F.max("pattern_id").alias("last"), F.sum("pattern_version").alias("versions"))
 
 
 def delete_domain(spark, d):
-    scans = _scans(spark, d)
-    kept, children = store.delete_domain(scans, _scores(spark, d), "")
-    return kept.agg(F.count(F.lit(1)).alias("n")).select(F.lit("scans").alias("part"), "n").unionByName(children.agg(F.count(F.lit(1)).alias("n")).select(F.lit("scores").alias("part"), "n"))
+    """What is left, by domain and by pattern, when the scans of files and pasted texts are deleted."""
+    kept, children = store.delete_domain(_scans(spark, d), _scores(spark, d), "")
+    parts = [df.groupBy(F.col(c).alias("key")).agg(F.count(F.lit(1)).alias("n")).select(F.lit(p).alias("part"), "key", "n") for p, df, c in (("scans", kept, "domain"), ("scores", children, "pattern_id"))]
+    return parts[0].unionByName(parts[1])
 
 
 def excluded_domains(spark, d):
@@ -320,7 +346,9 @@ def excluded_domains(spark, d):
 
 
 def delete_excluded(spark, d):
-    return store.delete_excluded(_scans(spark, d), excluded_domains(spark, d))[1]
+    """By domain, what was deleted and what is left."""
+    kept, gone = store.delete_excluded(_scans(spark, d), excluded_domains(spark, d))
+    return gone.select("domain", "deleted", F.lit(0).cast("bigint").alias("kept")).unionByName(kept.groupBy("domain").agg(F.lit(0).cast("bigint").alias("deleted"), F.count(F.lit(1)).alias("kept")))
 
 
 def url_authority(spark, d):
@@ -341,7 +369,8 @@ def skip_pattern_filter(spark, d):
 
 
 def article_urls(spark, d):
-    return A.article_urls(_pages(spark, d).filter("url is not null").select("url"), "https://", [".html", ".htm", "/"])
+    urls = _scans(spark, d).filter("url is not null").select(T.base_url(F.col("url")).alias("base"), "url").distinct()
+    return A.site_article_urls(urls, [".html", ".htm", "/"]).select("url")
 
 
 def min_words_filter(spark, d):
@@ -356,8 +385,8 @@ def sitemap_locs(spark, d):
 
 
 def score_json_roundtrip(spark, d):
-    s = _scans(spark, d).select("id", F.to_json("categories").alias("j"))
-    return s.select("id", F.round(F.coalesce(F.from_json("j", "map<string,double>"), F.create_map().cast("map<string,double>"))["tropes"], 6).alias("tropes"))
+    s = _scans(spark, d).select("id", F.from_json(F.to_json("categories"), "map<string,double>").alias("m"))
+    return s.select("id", *(F.round(F.col("m")[c], 6).alias(c) for c in S.CATEGORIES))
 
 
 def html_to_text(spark, d):
@@ -380,7 +409,7 @@ QUERIES = {f.__name__: f for f in (
     word_count, freq_contains, freq_exact, regex_count, html_regex_count, html_text_fallback, bullet_density, header_ratio, paragraph_uniformity, emoji_density, sentence_split, sentence_burstiness,
     avg_sentence_length, question_rate, type_token_ratio, word_freq_variance, stylistic_index, scored_documents, scored_pages, pattern_scores_long, normalize_clamp, category_weighted_mean, label_assignment,
     model_similarity, rank_results, delta_vector, leaderboard, leaderboard_label_filter, leaderboard_page2, domain_stats, domain_leaderboard, leaderboard_percentile, quiet_domains, corpus_percentile,
-    score_percentiles, global_stats, pattern_stats, category_report, pattern_version_summary, pattern_version_status, stale_urls, new_urls_anti_join, work_list, domain_trend, trend_last_120, monthly_trend,
+    score_percentiles, global_stats, pattern_stats, pattern_stats_catalog, scan_status, outcome_counts, library_scores_long, category_report, pattern_version_summary, pattern_version_status, stale_urls, new_urls_anti_join, work_list, domain_trend, trend_last_120, monthly_trend,
     domain_scans_recent, domain_scans_highest, domain_scans_lowest, domain_extremes, category_avgs_recent20, upsert_latest, replace_children, delete_domain, excluded_domains, delete_excluded, url_authority,
     host_normalize, trending_domains, skip_pattern_filter, article_urls, min_words_filter, sitemap_locs, score_json_roundtrip, html_to_text, library, library_profiles, badges,
 )}

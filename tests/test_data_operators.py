@@ -12,6 +12,7 @@ from scrivane.operators.timestamps import normalize_times
 from scrivane.patterns.library import load_patterns, load_weights
 from scrivane.sources import discovery, documents, output
 from scrivane.streaming.refresh import SCANS, Refresher, first_seen, recently_scanned, score_windows
+from scrivane.streaming.worker import run_worker
 
 
 def test_key_totals(spark, monkeypatch):
@@ -89,11 +90,41 @@ def test_store_deletions(spark):
 
 
 def test_versioned_table(spark, tmp_path):
-    t = store.VersionedTable(spark, str(tmp_path / "t"))
+    t = store.VersionedTable(spark, str(tmp_path / "t"), buckets=4)
     assert t.read("a int").count() == 0
     for k in range(4):
-        t.write(spark.range(k + 1).withColumn("a", F.col("id") * 2), buckets="id" if k == 3 else None, n=4)
-    assert t.read().count() == 4 and len([p for p in (tmp_path / "t").iterdir() if p.name.startswith("v")]) == 2
+        t.write(spark.range(k + 1).withColumn("a", F.col("id") * 2), "id" if k == 3 else None)
+    assert t.read().count() == 4 and len(t.versions()) == 2 and len([p for p in (tmp_path / "t").iterdir() if p.name.startswith("data-")]) == 2
+
+
+def test_versioned_table_survives_a_writer_that_dies(spark, tmp_path, monkeypatch):
+    schema = "id bigint, v string"
+    rows = lambda t: sorted(tuple(r) for r in t.read(schema).collect())
+    combine = lambda was, new: store.replace_children(was, new, "id")
+    t = store.VersionedTable(spark, str(tmp_path / "t"), buckets=8)
+
+    def die(*_):
+        raise OSError("killed")
+
+    with monkeypatch.context() as m:  # before the first version
+        m.setattr(t, "_commit", die)
+        with pytest.raises(OSError):
+            t.merge(spark.createDataFrame([(0, "lost")], schema), "id", combine, schema, 0)
+    assert rows(t) == []
+    assert t.merge(spark.createDataFrame([(i, "a") for i in range(50)], schema), "id", combine, schema, 1)
+    before = t.current()["folders"]
+    with monkeypatch.context() as m:  # folders written, version not committed
+        m.setattr(t, "_commit", die)
+        with pytest.raises(OSError):
+            t.merge(spark.createDataFrame([(1, "lost")], schema), "id", combine, schema, 2)
+    assert rows(t) == [(i, "a") for i in range(50)] and t.current()["folders"] == before
+    assert t.merge(spark.createDataFrame([(1, "b"), (99, "b")], schema), "id", combine, schema, 2)
+    assert not t.merge(spark.createDataFrame([(1, "again")], schema), "id", combine, schema, 2)
+    assert rows(t) == [(0, "a"), (1, "b"), *((i, "a") for i in range(2, 50)), (99, "b")]
+    after = t.current()["folders"]
+    assert sum(after[b] != before.get(b) for b in after) <= 2  # other buckets are taken over as they are
+    t.merge(spark.createDataFrame([], schema), "id", combine, schema, 3)
+    assert t.current()["folders"] == after and t.current()["batch"] == 3
 
 
 def test_stale_and_work_list(spark):
@@ -171,10 +202,66 @@ def test_refresh_in_two_batches_equals_one(spark, tmp_path):
     rows = {x.url: x for x in r.scans.read(SCANS).collect()}
     assert set(rows) == {"u1", "u2", "u3", None} and rows["u1"].title == "A" and rows["u1"].published_date == date(2024, 1, 1)
     r.merge(spark.createDataFrame(two, schema))
-    assert key(r.scans) == key(whole.scans)
+    r.merge(spark.createDataFrame(one, schema), 0)  # a batch that was taken in
+    r.merge(spark.createDataFrame(one, schema).filter("url is null"))
+    assert key(r.scans) == key(whole.scans) and key(r.scores) == key(whole.scores)
+    keys = {x.scan_key for x in r.scores.read().collect()}
+    assert keys == {x.scan_key for x in r.scans.read().collect()} and len(keys) == 4  # documents without url have scores too
     assert {x.domain for x in recently_scanned(r.scans.read(), 24, datetime(2024, 1, 2, 12)).collect()} == {"d", "e"}
 
 
+def test_fetching_rules(spark):
+    import time
+
+    def fetch(url):
+        if "slow" in url:
+            time.sleep(3)
+        return {"gone": (404, url, "x"), "moved": (200, "https://a.x/new", "<p>here</p>"), "none": None}.get(url.rsplit("/", 1)[1], (200, url, "ok"))
+
+    urls = spark.createDataFrame([(f"https://a.x/{n}",) for n in ("gone", "moved", "none", "slow", *map(str, range(40)))], "url string").coalesce(1)
+    got = {r.url.rsplit("/", 1)[1]: r for r in discovery.fetch_pages(urls, fetch, seconds=0.5).collect()}
+    assert got["gone"].error == "HTTP 404" and got["none"].error == "no text" and "within" in got["slow"].error and got["moved"].final_url == "https://a.x/new" and sum(r.html == "ok" for r in got.values()) == 40
+
+
+def test_worker_cycle(spark, tmp_path):
+    """Discovery by sitemap index, page and feed, trending hosts, exclusions, limits, outcomes and the failure log, on saved bodies."""
+    page = lambda n: f"<html><head><title>{n}</title></head><body><p>{'Moreover, we go there. ' * 30}</p></body></html>"
+    saved = {
+        "https://a.x/sitemap.xml": "<sitemapindex><sitemap><loc>https://a.x/s1.xml</loc></sitemap></sitemapindex>", "https://a.x/s1.xml": "<urlset><url><loc>/p/1</loc></url><url><loc> https://a.x/p/2 </loc></url><url><loc>https://a.x/tag/3</loc></url></urlset>",
+        "https://b.x": "<link rel='alternate' type='application/rss+xml' href='/own.rss'>", "https://b.x/own.rss": "<rss><link>https://b.x/n/1</link><link>https://b.x/x.xml</link></rss>", "https://c.x/rss": "<feed><link href='https://c.x/1'/></feed>",
+        "https://hn.x/v0/topstories.json": "[1, 2, 3, 4, 5]", **{f"https://hn.x/v0/item/{i}.json": '{"url": "https://www.c.x/%d"}' % i for i in (1, 2)}, "https://hn.x/v0/item/3.json": '{"url": "https://github.com/x"}', "https://hn.x/v0/item/4.json": '{"url": "https://no.x/y"}',
+    }
+    fetch = lambda u: (200, u, saved[u]) if u in saved else (200, u, page(u)) if "/p/" in u or "/n/" in u or u == "https://c.x/1" else (404, u, "")
+    got = {(r.base, r.via, r.url) for r in discovery.discover_urls(spark.createDataFrame([("https://a.x",), ("https://b.x",), ("https://c.x",), ("https://d.x",)], "base string"), fetch).collect()}
+    assert got == {("https://a.x", "sitemap", f"https://a.x/{x}") for x in ("p/1", "p/2", "tag/3")} | {("https://b.x", "feed", "https://b.x/n/1"), ("https://c.x", "feed", "https://c.x/1"), ("https://d.x", None, None)}
+    items = discovery.story_items(spark, fetch, root="https://hn.x/v0")
+    assert {r.domain for r in A.trending_domains(discovery.stories(items), spark.createDataFrame([(h,) for h in discovery.EXCLUDED_HOSTS], "domain string"), 5, 1).collect()} == {"c.x", "no.x"}
+    refresher = Refresher(spark, str(tmp_path / "s"), load_patterns()[:3], load_weights())
+    lines, curated = [], spark.createDataFrame([("a.x",), ("b.x",), ("d.x",)], "domain string")
+    run_worker(refresher, curated, fetch, 1, failed_log=str(tmp_path / "log"), report=lines.append, skip=["/tag/"], limit=1)
+    run_worker(refresher, curated, fetch, 1, report=lines.append, skip=["/tag/"], limit=5)
+    run_worker(refresher, curated, fetch, 1, report=lines.append, skip=["/tag/"], limit=5)
+    assert {r.url for r in refresher.scans.read(SCANS).collect()} == {"https://a.x/p/1", "https://a.x/p/2", "https://b.x/n/1"}
+    assert [x for x in lines if "scanned" in x] == ["cycle 1: scanned: 2 sites, 2 pages saved", "cycle 1: scanned: 1 sites, 1 pages saved"] and "cycle 1: all_existing: 2 sites, 0 pages saved" in lines
+    outcomes = store.VersionedTable(spark, str(tmp_path / "s" / "outcomes")).read()
+    assert {(r.domain, r.status) for r in A.scan_status(outcomes, spark.createDataFrame([("a.x",), ("d.x",), ("z.x",)], "domain string")).collect()} == {("a.x", "all_existing"), ("d.x", "no_discovery"), ("z.x", "unknown")}
+    assert {r.value for r in spark.read.text(str(tmp_path / "log")).collect()} >= {"d.x"}
+
+
+def test_scratch_folder(spark, tmp_path):
+    from types import SimpleNamespace
+
+    from scrivane import session
+
+    cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://somewhere:7077"))
+    with pytest.raises(RuntimeError):
+        session.scratch_root(cluster)
+    made = session.materialize(spark.range(3), "kept")
+    assert made.count() == 3 and session._made
+    session.release(spark)
+    assert not session._made
+
+
 def test_stream_windows_and_dedupe(spark, tmp_path):
     spark.createDataFrame([("u1", "d", 10, _at(1)), ("u1", "d", 10, _at(1)), ("u2", "d", 30, _at(1)), ("u9", "x", 1, _at(9))], "url string, domain string, score int, scanned_at timestamp").write.parquet(str(tmp_path / "i"))
     stream = spark.readStream.schema("url string, domain string, score int, scanned_at timestamp").parquet(str(tmp_path / "i"))

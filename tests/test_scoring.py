@@ -146,3 +146,11 @@ def test_unknown_metric_is_left_out(spark):
     p = L.Pattern("x", "x", "structure", 0.5, "structural", {"metric": "unknown"})
     r = D.score_documents(spark.createDataFrame([("a",)], "text string"), [p], L.load_weights()).first()
     assert r.results == [] and r["index"] == 0
+
+
+def test_bad_expressions_are_left_out(spark):
+    """Ones that no engine reads, and ones that only the JVM can't."""
+    bad = [L.Pattern(f"b{i}", "b", "tropes", 0.5, "regex", {"patterns": ["fine", x]}) for i, x in enumerate(("(open and", "(?P<n>a)(?P=n)+ very"))]
+    good = L.Pattern("g", "g", "tropes", 0.5, "regex", {"patterns": ["a+ word"], "threshold_low": 0, "threshold_high": 1})
+    r = D.score_documents(spark.createDataFrame([("aa word",)], "text string"), [*bad, good], L.load_weights()).first()
+    assert [x.pattern_id for x in r.results] == ["g"]
