@@ -10,6 +10,7 @@ one class throughout.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 from math import gcd
 
 import numpy as np
@@ -248,6 +249,59 @@ def _extend(k: int, least: int, every: bool, schema: pa.Schema):
     return run
 
 
+_SEGMENTS = "doc bigint, mark bigint, rel int, start int, size int, c1 bigint, c2 bigint"
+_WINDOWS = "doc bigint, was int, start int, many boolean, c1 bigint, c2 bigint"
+#: Windows that are looked at together; positions in them take the low bits of the keys that choose anchors.
+BLOCK_WINDOWS, POSITION_BITS = 1 << 22, 24
+
+
+def _content(t: str) -> tuple[int, int]:
+    d = xxhash.xxh3_128_intdigest(t.encode("utf-8", "surrogatepass"))
+    return (d >> 64) - (1 << 63), (d & ((1 << 64) - 1)) - (1 << 63)
+
+
+def segments(t: str, hasher: AnchorHash, least: int) -> Iterator[tuple[int, int, int, int]]:
+    """(hash of the anchor, its place in the segment, start, size): all windows of ``least`` characters, those in a row that have the same anchor as one segment.
+
+    The anchor of a window is the place of its least hash, the first of equal ones: what it is depends on the window's characters only.
+    """
+    w = least - hasher.k + 1
+    low = np.uint64((1 << POSITION_BITS) - 1)
+    h = hasher(np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32))
+    n = len(t) - least + 1
+    for first in range(0, n, BLOCK_WINDOWS):
+        part = h[first : min(first + BLOCK_WINDOWS, n) + w - 1]
+        at = (_sliding((part & ~low) | np.arange(len(part), dtype=np.uint64), w, np.minimum, 0xFFFFFFFFFFFFFFFF) & low).astype(np.int64)
+        begin = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+        end = np.r_[begin[1:], len(at)] - 1
+        for b, e, p in zip(begin.tolist(), end.tolist(), at[begin].tolist()):
+            yield int(part[p].view(np.int64)), p - b, first + b, e - b + least
+
+
+def _cut(k: int, least: int, schema: pa.Schema):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = AnchorHash(k)
+        for b in batches:
+            rows = [(d, m, rel, s, size, *_content(t[s : s + size])) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if len(t) >= least for m, rel, s, size in segments(t, hasher, least)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), schema)], schema=schema)
+
+    return run
+
+
+def _windows(least: int, schema: pa.Schema):
+    """Every window of some segments of a text, by itself."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for doc, t, own in zip(*(c.to_pylist() for c in b.columns)):
+                rows = [(doc, g["start"], i, g["many"], *_content(t[i : i + least])) for g in own for i in range(g["start"], g["start"] + g["size"] - least + 1)]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), schema)], schema=schema)
+
+    return run
+
+
 class SharedSpans:
     """The shared spans of a table of documents.
 
@@ -261,25 +315,38 @@ class SharedSpans:
     def __init__(self, docs: DataFrame, doc: str, text: str, least: int = 320):
         if least < 16:
             raise ValueError("least must be 16 or more")
-        k = least // 2
-        src = docs.select(F.col(f"`{doc}`").cast("bigint").alias("doc"), F.col(f"`{text}`").alias("text")).filter("doc is not null and text <> ''")
+        self.least, self.k = least, least // 2
+        self._src = docs.select(F.col(f"`{doc}`").cast("bigint").alias("doc"), F.col(f"`{text}`").alias("text")).filter("doc is not null and text <> ''")
         schema = _parse_datatype_string(_MARKS)
-        marked = materialize(src.mapInArrow(_mark(k, least - k + 1, to_arrow_schema(schema)), schema), "marks")
-        first = marked.groupBy("h1", "h2").agg(F.min("doc").alias("class_doc"))
-        salted = first.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        self.least = least
-        self.classes = marked.select("doc", "h1", "h2", "n_chars", F.pmod("doc", F.lit(SALTS)).cast("int").alias("salt")).join(salted, ["h1", "h2", "salt"]).select("doc", "class_doc", "n_chars").dropDuplicates(["doc"])
-        heads = marked.join(first.select(F.col("class_doc").alias("doc")), "doc", "left_semi").dropDuplicates(["doc"])
+        self._marked = materialize(self._src.mapInArrow(_mark(self.k, least - self.k + 1, to_arrow_schema(schema)), schema), "marks")
+        self._first = self._marked.groupBy("h1", "h2").agg(F.min("doc").alias("class_doc"))
+        self.classes = _part(self._marked.select("doc", "h1", "h2", "n_chars"), "doc").join(_every(self._first), ["h1", "h2", "salt"]).select("doc", "class_doc", "n_chars").dropDuplicates(["doc"])
+
+    @cached_property
+    def _both(self) -> DataFrame:
+        """Pairs of classes with an anchor in common, where it stands, and both texts."""
+        heads = self._marked.join(self._first.select(F.col("class_doc").alias("doc")), "doc", "left_semi").dropDuplicates(["doc"])
         posts = heads.select("doc", F.inline(F.arrays_zip("marks", "places", "reaches", "gaps")).alias("mark", "at", "reach", "gap"))
         often = posts.groupBy("mark").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).filter("lo < hi").select("mark")
-        shared = materialize(posts.join(often, "mark"), "anchors")
+        shared = materialize(_part(posts, "doc").join(_every(often), ["mark", "salt"], "left_semi").drop("salt"), "anchors")
         side = lambda s: shared.select("mark", *(F.col(c).alias(f"{c}_{s}") for c in ("doc", "at", "reach", "gap")))
-        pairs = side("a").join(side("b"), "mark").filter("doc_a < doc_b").drop("mark")
-        texts = src.join(shared.select("doc").distinct(), "doc", "left_semi").dropDuplicates(["doc"])
+        # The second side stands once for each salt of the first: an anchor in very many documents is spread over tasks.
+        pairs = _part(side("a"), "doc_a").join(_every(side("b")), ["mark", "salt"]).filter("doc_a < doc_b").drop("mark", "salt")
+        texts = self._src.join(shared.select("doc").distinct(), "doc", "left_semi").dropDuplicates(["doc"])
         both = pairs.join(texts.select(F.col("doc").alias("doc_a"), F.col("text").alias("text_a")), "doc_a").join(texts.select(F.col("doc").alias("doc_b"), F.col("text").alias("text_b")), "doc_b")
+        return both.select("doc_a", "doc_b", "at_a", "at_b", "reach_a", "reach_b", "gap_a", "gap_b", "text_a", "text_b")
+
+    def _extended(self, every: bool) -> DataFrame:
         out = _parse_datatype_string(_SPANS)
-        both = both.select("doc_a", "doc_b", "at_a", "at_b", "reach_a", "reach_b", "gap_a", "gap_b", "text_a", "text_b")
-        self.spans, self.covering = (both.mapInArrow(_extend(k, least, every, to_arrow_schema(out)), out).distinct() for every in (True, False))
+        return self._both.mapInArrow(_extend(self.k, self.least, every, to_arrow_schema(out)), out).distinct()
+
+    @cached_property
+    def spans(self) -> DataFrame:
+        return self._extended(True)
+
+    @cached_property
+    def covering(self) -> DataFrame:
+        return self._extended(False)
 
     def pairs(self) -> DataFrame:
         """(doc_a, doc_b), doc_a < doc_b: all pairs of documents with a span in common, copies included."""
@@ -290,21 +357,50 @@ class SharedSpans:
         copies = long.select(F.col("doc").alias("doc_a"), "class_doc").join(long.select(F.col("doc").alias("doc_b"), "class_doc"), "class_doc").filter("doc_a < doc_b").select("doc_a", "doc_b")
         return different.unionByName(copies)
 
+    def covered(self) -> DataFrame:
+        """(doc, s, e): intervals of the classes' texts, of which every window of ``least`` characters stands in another class too.
+
+        No pairs are formed: windows with one anchor are a segment, and a segment that stands whole in several texts is one entry of each; only segments in which a
+        shared stretch begins or ends are taken apart into their windows, and of equal segments one.
+        """
+        schema = _parse_datatype_string(_SEGMENTS)
+        heads = self._src.join(self._first.select(F.col("class_doc").alias("doc")), "doc", "left_semi").dropDuplicates(["doc"])
+        cut = materialize(heads.mapInArrow(_cut(self.k, self.least, to_arrow_schema(schema)), schema), "segments")
+        several = cut.groupBy("mark").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).filter("lo < hi").select("mark")
+        own = materialize(_part(cut, "doc").join(_every(several), ["mark", "salt"], "left_semi").drop("salt"), "own")
+        kinds = materialize(own.groupBy("mark", "c1", "c2").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.min(F.struct("doc", "start", "size")).alias("first")), "kinds")
+        whole = _part(own, "doc").join(_every(kinds.filter("lo < hi").select("mark", "c1", "c2")), ["mark", "c1", "c2", "salt"], "left_semi").select("doc", F.col("start").alias("s"), (F.col("start") + F.col("size")).alias("e"))
+        apart = kinds.join(kinds.filter("lo = hi").select("mark").distinct(), "mark", "left_semi").select("first.*", (F.col("lo") < F.col("hi")).alias("many"))
+        # A segment may stand more than once in its only text: its other places are covered as the first is.
+        asked = apart.groupBy("doc").agg(F.collect_list(F.struct("start", "size", "many")).alias("segments"))  # one text's segments
+        ways = _parse_datatype_string(_WINDOWS)
+        windows = materialize(heads.join(asked, "doc").select("doc", "text", "segments").mapInArrow(_windows(self.least, to_arrow_schema(ways)), ways), "windows")
+        met = windows.groupBy("c1", "c2").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.max("many").alias("many")).filter("lo < hi or many").select("c1", "c2")
+        single = _part(windows.filter("not many"), "start").join(_every(met), ["c1", "c2", "salt"], "left_semi").select("doc", "was", F.col("start").alias("s"), (F.col("start") + self.least).alias("e"))
+        again = own.join(kinds.filter("lo = hi").select("mark", "c1", "c2", F.col("first.start").alias("was"), F.col("first.doc").alias("doc")), ["mark", "c1", "c2", "doc"]).filter("start <> was")
+        step = F.col("start") - F.col("was")
+        moved = again.select("doc", "start", "was").join(single, ["doc", "was"]).select("doc", (F.col("s") + step).alias("s"), (F.col("e") + step).alias("e"))
+        return whole.unionByName(single.drop("was")).unionByName(moved)
+
     def coverage(self) -> DataFrame:
-        """(doc, class_doc, n_copies, n_chars, shared_chars, n_classes): one row per document; shared_chars of its text stand in another document.
+        """(doc, class_doc, n_copies, n_chars, shared_chars): one row per document; shared_chars of its text stand in another document.
 
-        n_copies counts the documents with the same text, itself included; n_classes the other texts that share a span. A text of at
-        least ``least`` characters with a copy is shared as a whole.
+        n_copies counts the documents with the same text, itself included. A text of at least ``least`` characters with a copy is shared as a whole. Which
+        documents these are is told by ``pairs``.
         """
-        sides = self.covering.select(F.col("doc_a").alias("d"), F.col("doc_b").alias("other"), F.col("start_a").alias("s"), (F.col("start_a") + F.col("length")).alias("e")).unionByName(self.covering.select(F.col("doc_b").alias("d"), F.col("doc_a").alias("other"), F.col("start_b").alias("s"), (F.col("start_b") + F.col("length")).alias("e")))
-        links = sides.groupBy("d").agg(F.countDistinct("other").alias("n_classes"))
-        # Spans of one place in many documents are one entry; the union of a text's intervals by running maximum.
         from pyspark.sql.window import Window
 
-        w = Window.partitionBy("d").orderBy("s", "e").rowsBetween(Window.unboundedPreceding, -1)
-        cover = sides.select("d", "s", "e").distinct().withColumn("b", F.coalesce(F.max("e").over(w), F.lit(0))).groupBy("d").agg(F.sum(F.greatest(F.lit(0), F.col("e") - F.greatest("s", "b"))).alias("c"))
+        w = Window.partitionBy("doc").orderBy("s", "e").rowsBetween(Window.unboundedPreceding, -1)  # one text's intervals, by running maximum
+        cover = self.covered().distinct().withColumn("b", F.coalesce(F.max("e").over(w), F.lit(0))).groupBy(F.col("doc").alias("class_doc")).agg(F.sum(F.greatest(F.lit(0), F.col("e") - F.greatest("s", "b"))).alias("c"))
         copies = self.classes.groupBy("class_doc").agg(F.count(F.lit(1)).alias("n_copies"))
-        per_class = copies.join(links.withColumnRenamed("d", "class_doc"), "class_doc", "left").join(cover.withColumnRenamed("d", "class_doc"), "class_doc", "left")
-        salted = per_class.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        per_class = copies.join(cover, "class_doc", "left")
         whole = (F.col("n_copies") > 1) & (F.col("n_chars") >= self.least)
-        return self.classes.withColumn("salt", F.pmod("doc", F.lit(SALTS)).cast("int")).join(salted, ["class_doc", "salt"]).select("doc", "class_doc", "n_copies", "n_chars", F.when(whole, F.col("n_chars")).otherwise(F.coalesce("c", F.lit(0))).cast("bigint").alias("shared_chars"), F.coalesce("n_classes", F.lit(0)).alias("n_classes"))
+        return _part(self.classes, "doc").join(_every(per_class), ["class_doc", "salt"]).select("doc", "class_doc", "n_copies", "n_chars", F.when(whole, F.col("n_chars")).otherwise(F.coalesce("c", F.lit(0))).cast("bigint").alias("shared_chars"))
+
+
+def _part(df: DataFrame, by: str) -> DataFrame:
+    return df.withColumn("salt", F.pmod(by, F.lit(SALTS)).cast("int"))
+
+
+def _every(df: DataFrame) -> DataFrame:
+    return df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))

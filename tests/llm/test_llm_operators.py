@@ -394,6 +394,27 @@ def _pairs(docs, least):
     return out
 
 
+def _covered(docs, least):
+    """Characters of every document that stand in a window which another document has."""
+    texts = {d: t for d, t in docs if t}
+    has = defaultdict(set)
+    for d, t in texts.items():
+        for i in range(len(t) - least + 1):
+            has[t[i : i + least]].add(d)
+    return {d: len({j for i in range(len(t) - least + 1) if len(has[t[i : i + least]]) > 1 for j in range(i, i + least)}) for d, t in texts.items()}
+
+
+def test_coverage_of_a_span_in_many_documents(spark):
+    """No pairs: one span in all documents, at places and with neighbours of its own; some have it twice, or parts of it."""
+    rng = random.Random(9)
+    text = lambda n: "".join(rng.choice("abcdef gh") for _ in range(n))
+    span = text(150)
+    docs = [(i, text(rng.randrange(90)) + span[rng.randrange(3) * 20 : 150 - rng.randrange(3) * 20] + text(rng.randrange(90)) + (span if i % 9 == 0 else "")) for i in range(60)] + [(60, text(40) + "tick tock " * 30), (61, "ick tock t" * 12), (62, text(100) * 2)]
+    df = spark.createDataFrame(docs, "id long, body string").repartition(4)
+    spans = shared_spans.SharedSpans(df, "id", "body", 64)
+    assert {r.doc: r.shared_chars for r in spans.coverage().collect()} == _covered(docs, 64)
+
+
 def test_shared_spans(spark):
     rng = random.Random(8)
     text = lambda n: "".join(rng.choice("abcdefgh é漢") for _ in range(n))
@@ -415,6 +436,7 @@ def test_shared_spans(spark):
     cover = {r.doc: r for r in spans.coverage().collect()}
     assert set(cover) == {d for d, t in docs if t} and cover[7].n_copies == 3 and cover[7].shared_chars == 150 and cover[2].shared_chars == 64 and cover[6].shared_chars == 130 and cover[16].shared_chars == 0 and cover[16].n_copies == 2
     assert cover[5].shared_chars >= 194 and cover[3].shared_chars == 0
+    assert {d: r.shared_chars for d, r in cover.items()} == _covered(docs, 64)
     empty = shared_spans.SharedSpans(df.limit(0), "id", "body", 64)
     assert empty.pairs().collect() == [] and empty.coverage().collect() == []
 
