@@ -105,7 +105,17 @@ _LINES = r"""
         and count(distinct scan_id) >= 0.2 * (select count(*) from docs d where d.domain = same.domain)),
     hits as (select scan_id, cast(line_no as int) as line_no from same join often using (domain, t))"""
 
+#: Texts once each, with the documents that have them; all windows of 320 characters.
+_SPANS = """with t as (select text, min(doc_id) as rep, list(doc_id) as docs, count(*) as n from documents where text <> '' group by text),
+    w as (select rep, i, md5_number(substr(text, i, 320)) as h from (select rep, text, unnest(generate_series(1, length(text) - 319)) as i from t where length(text) >= 320)),
+    s as (select rep, i, h from w where h in (select h from w group by h having count(distinct rep) > 1))"""
+
 SQL = {
+    "p10_found": f"""{_SPANS}, m as (select rep, unnest(docs) as doc_id from t where length(text) >= 320), p as (select distinct a.rep as x, b.rep as y from (select distinct rep, h from s) a join (select distinct rep, h from s) b on a.h = b.h and a.rep < b.rep)
+        select least(a.doc_id, b.doc_id) as doc_id_a, greatest(a.doc_id, b.doc_id) as doc_id_b from p join m a on a.rep = p.x join m b on b.rep = p.y union all select a.doc_id, b.doc_id from m a join m b on a.rep = b.rep and a.doc_id < b.doc_id""",
+    "p10_coverage": f"""{_SPANS}, c as (select rep, sum(least(320, coalesce(following - i, 320))) as c from (select rep, i, lead(i) over (partition by rep order by i) as following from s) group by rep)
+        select doc_id, rep as class_doc, n as n_copies, cast(length(text) as int) as n_chars, cast(case when n > 1 and length(text) >= 320 then length(text) else coalesce(c, 0) end as bigint) as shared_chars
+        from (select unnest(docs) as doc_id, rep, n, text from t) left join c using (rep)""",
     "p1_found": """select domain, scan_id from (select domain, id as scan_id, row_number() over (partition by domain order by score desc, id) as n
         from (select distinct id, domain, score from scans) where domain <> '' and score is not null) where n <= 5""",
     "p5_found": f"with {_LINES} select scan_id, line_no from hits",
