@@ -68,43 +68,53 @@ def term_automaton(terms: tuple[str, ...]):
     return a
 
 
+_AUTOMATA: dict = {}
+
+
+def term_groups(groups: list[tuple[list[str], bool]]):
+    """A function of a lower-case text: how often the terms of each group (terms, exact) stand in it, as count_terms gives it, by one pass for all of them."""
+    key = tuple((tuple(terms), exact) for terms, exact in groups)
+    if key not in _AUTOMATA:
+        weights: dict[str, list[int]] = {}
+        starts: list[tuple[str, int]] = []
+        for g, (terms, exact) in enumerate(groups):
+            for t in (x.lower() for x in terms):
+                weights.setdefault(f" {t} " if exact else t, []).append(g)
+                if exact:
+                    starts.append((f"{t} ", g))
+        _AUTOMATA.clear()
+        _AUTOMATA[key] = term_automaton(tuple(weights)) if weights else None, weights, starts
+    automaton, weights, starts = _AUTOMATA[key]
+
+    def count(low: str) -> list[int]:
+        n = [0] * len(groups)
+        until: dict[str, int] = {}
+        for end, (term, size) in automaton.iter(low) if automaton else ():
+            if end - size >= until.get(term, -1):  # occurrences of one term that overlap count once
+                until[term] = end
+                for g in weights[term]:
+                    n[g] += 1
+        for term, g in starts:
+            if low.startswith(term):
+                n[g] += 1
+        return n
+
+    return count
+
+
 def term_counter(groups: list[tuple[list[str], bool]]):
     """A column function: lower-case text -> array with the count of each group of (terms, exact), as count_terms gives it.
 
     One pass over a text finds all terms of all groups, where count_terms makes one pass for every term. Batches go to Python as Arrow
     columns. Without the automaton library the counts are those column expressions.
     """
-    lowered = [([t.lower() for t in terms], exact) for terms, exact in groups]
-    weights: dict[str, list[tuple[int, int]]] = {}
-    starts: list[tuple[str, int]] = []
-    for g, (terms, exact) in enumerate(lowered):
-        for t in terms:
-            weights.setdefault(f" {t} " if exact else t, []).append((g, 1))
-            if exact:
-                starts.append((f"{t} ", g))
     if term_automaton(("a",)) is None:
         return lambda low: F.array(*(count_terms(low, t, e) for t, e in groups))
-    words = tuple(weights)
-    cache: dict = {}
 
     @F.pandas_udf("array<bigint>")
     def count(low: pd.Series) -> pd.Series:
-        if "a" not in cache:
-            cache["a"] = term_automaton(words)
-        automaton, out = cache["a"], []
-        for text in low:
-            n = [0] * len(lowered)
-            until: dict[str, int] = {}
-            for end, (term, size) in automaton.iter(text or ""):
-                if end - size >= until.get(term, -1):  # occurrences of one term that overlap count once
-                    until[term] = end
-                    for g, w in weights[term]:
-                        n[g] += w
-            for term, g in starts:
-                if text and text.startswith(term):
-                    n[g] += 1
-            out.append(n)
-        return pd.Series(out)
+        of = term_groups(groups)
+        return pd.Series([of(t or "") for t in low])
 
     return count
 

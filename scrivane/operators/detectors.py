@@ -6,12 +6,16 @@ once, behind a generator that keeps the optimizer from copying them into every d
 
 from __future__ import annotations
 
+from functools import reduce
+
 from py4j.protocol import Py4JError
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scrivane.functions import text as T
+from scrivane.functions.measures import MEASURES, measurer
+from scrivane.functions.runs import run_counter
 from scrivane.operators.scoring import category_scores, clamp, index_of, label_of
 from scrivane.patterns.library import Pattern, usable
 from scrivane.session import spread
@@ -40,6 +44,15 @@ def prepare(df: DataFrame, text: str = "text", raw_html: str | None = None, pref
     return df.select("*", F.inline(F.array(F.struct(shared.alias(prefix)))))
 
 
+def measure_all(df: DataFrame, measure, text: str = "text", raw_html: str | None = None, prefix: str = "d") -> DataFrame:
+    """df with a struct of the columns that detectors share, those of words measured in one pass."""
+    t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    html = F.col(f"`{raw_html}`") if raw_html else F.lit(None).cast("string")
+    out = df.withColumn("__m", measure(t, F.lower(t)))
+    shared = F.struct(t.alias("text"), html.alias("raw_html"), *(F.col(f"__m.{c.split()[0]}") for c in MEASURES.split(", ")))
+    return out.select(*(F.col(f"`{c}`") for c in df.columns), F.inline(F.array(F.struct(shared.alias(prefix)))))
+
+
 def _rate(count: Column, d, params: dict) -> Column:
     return count / F.greatest(d.n_words, F.lit(1)).cast("double") * int(params.get("per_n_words", 1000))
 
@@ -90,9 +103,13 @@ def question_share(d) -> Column:
 
 
 def question_rate(d, params: dict) -> Column:
+    return _few_questions(question_share(d), F.size(d.sentences), params)
+
+
+def _few_questions(share: Column, sentences: Column, params: dict) -> Column:
     most = max(float(params.get("threshold_high", 0.08)), 0.001)
-    inverse = F.least(F.lit(1.0), F.greatest(F.lit(0.0), 1.0 - question_share(d) / most), F.lit(float(params.get("score_cap", 0.70))))
-    return F.when(F.size(d.sentences) > 0, inverse).otherwise(0.0)
+    inverse = F.least(F.lit(1.0), F.greatest(F.lit(0.0), 1.0 - share / most), F.lit(float(params.get("score_cap", 0.70))))
+    return F.when(sentences > 0, inverse).otherwise(0.0)
 
 
 def avg_sentence_length(d) -> Column:
@@ -105,6 +122,13 @@ _BY_METRIC = {
 }
 
 
+#: The same from the columns of one measuring pass.
+_MEASURED = {
+    "paragraph_cv_inverted": lambda d, _: d.uniformity, "sentence_burstiness": lambda d, _: d.burstiness, "type_token_ratio": lambda d, _: d.type_ratio, "avg_sentence_length": lambda d, _: d.sentence_length,
+    "question_rate": lambda d, params: _few_questions(d.question_share, d.n_sentences, params),
+}
+
+
 def metric(p: Pattern, d) -> Column:
     if p.params["metric"] == "question_rate":
         return question_rate(d, p.params)
@@ -156,17 +180,30 @@ def score_documents(df: DataFrame, patterns: list[Pattern], weights: dict[str, f
     of word_freq_variance then come from it. NULL and empty texts have score 0 throughout, but for an index from absent questions.
     """
     use = [p for p in patterns if usable(p) and compiles(df.sparkSession, p)]
-    phrases = [p for p in use if p.detection_type == "frequency"]
+    measured = T.term_automaton(("a",)) is not None  # else all of it by column expressions
+    phrases = [p for p in use if p.detection_type == "frequency"] if measured else []
     at = {p.id: i for i, p in enumerate(phrases)}
+    runs = {x: i for i, x in enumerate(dict.fromkeys(x for p in use if p.detection_type == "regex" for x in p.params["patterns"] if run_counter(x)))} if measured else {}
     d = DocumentColumns()
-    raw_of = lambda p: _rate(F.col("phrases")[at[p.id]], d, p.params) if p.id in at else raw_value(p, d)
+
+    def raw_of(p: Pattern) -> Column:
+        if p.id in at:
+            return _rate(F.col("d.phrases")[at[p.id]], d, p.params)
+        if p.detection_type == "regex" and any(x in runs for x in p.params["patterns"]):
+            found = T.count_matches(d.text, [x for x in p.params["patterns"] if x not in runs])
+            return _rate(reduce(lambda n, x: n + F.col("d.runs")[runs[x]], (x for x in p.params["patterns"] if x in runs), found), d, p.params)
+        if measured and p.params.get("metric") in _MEASURED:
+            return _MEASURED[p.params["metric"]](d, p.params)
+        return raw_value(p, d)
+
     raws = F.struct(*(raw_of(p).cast("double").alias(f"r{i}") for i, p in enumerate(use)), F.lit(0).alias("none"))
     results = F.array(*(result(p, F.col(f"raws.r{i}")) for i, p in enumerate(use))) if use else F.array().cast("array<struct<pattern_id:string,category:string,raw_value:double,norm_score:double,weight:double,label:string,pattern_version:int,pattern_hash:string>>")
-    out = prepare(spread(df), text, raw_html)
-    if phrases:
-        counter = T.term_counter([(p.params["terms"], p.params.get("match_mode", "contains") == "exact") for p in phrases])
-        out = out.withColumn("phrases", counter(F.col("d.low")))
-    out = out.select("*", F.inline(F.array(F.struct(raws.alias("raws"))))).drop("phrases")
+    if measured:
+        measure = measurer([(p.params["terms"], p.params.get("match_mode", "contains") == "exact") for p in phrases], list(runs))
+        out = measure_all(spread(df), measure, text, raw_html)
+    else:
+        out = prepare(spread(df), text, raw_html)
+    out = out.select("*", F.inline(F.array(F.struct(raws.alias("raws")))))
     out = out.select("*", F.inline(F.array(F.struct(results.alias("results"))))).drop("raws")
     zipf = [p for p in use if p.params.get("metric") == "word_freq_variance"]
     if frequencies is not None and zipf and key:

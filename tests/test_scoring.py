@@ -9,6 +9,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from scrivane.functions import text as T
+from scrivane.functions.measures import measurer
+from scrivane.functions.runs import run_counter
 from scrivane.operators import detectors as D
 from scrivane.operators import scoring as S
 from scrivane.patterns import library as L
@@ -154,3 +156,36 @@ def test_bad_expressions_are_left_out(spark):
     good = L.Pattern("g", "g", "tropes", 0.5, "regex", {"patterns": ["a+ word"], "threshold_low": 0, "threshold_high": 1})
     r = D.score_documents(spark.createDataFrame([("aa word",)], "text string"), [*bad, good], L.load_weights()).first()
     assert [x.pattern_id for x in r.results] == ["g"]
+
+
+RUNS = [r"(?:[A-Z][^.!?\n]{1,38}[.!?][ \t]){3,}", r"[A-Z][^.;!?\n]{10,90};\s*[^.;!?\n]{10,90};\s*[^.;!?\n]{10,90}[.!?]", r"\b[^,\n]{10,60},\s+[^,\n]{10,60},\s+and\s+[^,.\n]{10,60}[.,]"]
+PARTS = ["He went.", "It is so. ", "No! ", "Why? ", "a", "B ", "honest words, ", "and the other thing, ", "and ", "\n", ". ", "; ", "some longer piece of text here", "ten chars!", "é", "ſ", "ı", "  ", "\t", ", and then we left the house.", "x" * 40, "²", "_", " AND more of the same kind, ", "; \n", "word word; next words here; last words here. ", "", "\n\n", "? \"Who? ", "...", "\x1f", "\u00a0"]
+
+
+def _mixed(n, seed):
+    import random
+
+    rng = random.Random(seed)
+    return ["".join(rng.choice(PARTS) for _ in range(rng.randrange(1, 60))) for _ in range(n)]
+
+
+def test_runs_count_as_the_engine(spark):
+    counters = [run_counter(x) for x in RUNS]
+    assert all(counters) and not any(map(run_counter, (r"[a-z]{3,}", r"\b\w+, and", RUNS[0].replace("[.!?]", "[.!;]"), RUNS[2].replace(",.", ",;"))))
+    texts = _mixed(3000, 3)
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").repartition(4)
+    rows = df.select("i", *(T.count_matches(F.col("t"), [x]).alias(f"c{k}") for k, x in enumerate(RUNS))).collect()
+    for r in rows:
+        assert [c(texts[r.i]) for c in counters] == [r.c0, r.c1, r.c2], texts[r.i]
+    assert all(sum(r[f"c{k}"] for r in rows) > 100 for k in range(3))
+
+
+def test_measures_equal_expressions(spark):
+    """One pass in Python gives what the column expressions give, to the last bit."""
+    texts = _mixed(400, 4) + ["", "one", "A b. C d. E f. G h.", "w " * 49, "w x " * 50, "p one two\n\np two three four\n \np five six seven eight nine"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").repartition(4)
+    got = {r.i: r for r in D.measure_all(df, measurer([], []), "t").select("i", "d.*").collect()}
+    d = D.DocumentColumns()
+    want = D.prepare(df, "t").select("i", d.n_words.alias("n_words"), D.paragraph_uniformity(d).alias("uniformity"), D.sentence_burstiness(d).alias("burstiness"), D.avg_sentence_length(d).alias("sentence_length"), D.question_share(d).alias("question_share"), F.size(d.sentences).alias("n_sentences"), D.type_token_ratio(d).alias("type_ratio"))
+    for r in want.collect():
+        assert tuple(r)[1:] == tuple(got[r.i][c] for c in want.columns[1:]), texts[r.i]
