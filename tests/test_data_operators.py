@@ -22,6 +22,8 @@ def test_key_totals(spark, monkeypatch):
     got = {r.key: tuple(r)[1:] for r in key_totals(df, "key", ["v"]).collect()}
     assert got == {"a": (3, 2, 4.0, 1.0, 3.0), "": (1, 0, None, None, None), None: (2, 2, 4.0, 2.0, 2.0), "b" * 5000: (1, 1, -1.0, -1.0, -1.0), "hot": (500, 500, 124750.0, 0.0, 499.0)}
     assert {r.key_value for r in heavy_keys(df, "key", 0.5).collect()} == {"hot"}
+    large = spark.createDataFrame([("a", 2**60), ("a", 2**60 + 1), ("a", None), ("b", None)], "key string, v long").repartition(3)
+    assert {tuple(r) for r in key_totals(large, "key", ["v"]).collect()} == {("a", 3, 2, 2**61 + 1, 2**60, 2**60 + 1), ("b", 1, 0, None, None, None)}
     assert heavy_keys(df.filter("key = 'hot'"), "key").count() == 1
     assert key_totals(df.limit(0), "key", ["v"]).collect() == [] and heavy_keys(df.limit(0), "key").collect() == []
     assert {tuple(r) for r in key_totals(df.select(F.lit(7).alias("k")), "k").collect()} == {(7, 507)}
