@@ -17,7 +17,7 @@ from scrivane.functions import text as T
 from scrivane.functions.measures import MEASURES, measurer
 from scrivane.functions.runs import run_counter
 from scrivane.operators.scoring import category_scores, clamp, index_of, label_of
-from scrivane.patterns.library import Pattern, usable
+from scrivane.patterns.library import OWN_KINDS, Pattern, usable
 from scrivane.session import spread
 
 
@@ -139,6 +139,14 @@ def metric(p: Pattern, d) -> Column:
 BUILDERS = {"frequency": frequency, "regex": regex, "html_regex": html_regex, "structural": metric, "linguistic": metric}
 
 
+def register_kind(kind: str, builder) -> None:
+    """Adds a kind of detection: builder(pattern, document columns) gives the raw value as a column. Definitions of this kind may then be loaded."""
+    if kind in BUILDERS and kind not in OWN_KINDS:
+        raise ValueError(f"{kind} is a kind already")
+    BUILDERS[kind] = builder
+    OWN_KINDS.add(kind)
+
+
 def label_text(p: Pattern, raw: Column) -> Column:
     kinds = {
         "bullet_density": F.format_string("%.1f%% bullet lines", raw * 100), "header_ratio": F.format_string("%.1f headers per 1000 words", raw * 1000), "paragraph_cv_inverted": F.format_string("uniformity=%.2f", raw),

@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 CATEGORIES = ("tropes", "punctuation", "phrases", "structure", "emoji", "vocabulary")
 KINDS = ("regex", "html_regex", "frequency", "structural", "linguistic")
 METRICS = {"structural": ("bullet_density", "header_ratio", "paragraph_cv_inverted", "emoji_density"), "linguistic": ("sentence_burstiness", "type_token_ratio", "question_rate", "avg_sentence_length", "word_freq_variance")}
+#: Kinds of detection that callers added, see detectors.register_kind.
+OWN_KINDS: set[str] = set()
 REQUIRED = ("id", "name", "category", "weight", "detection_type", "params")
 #: Category weights where no file gives any. They aren't checked, as they sum to 1.05.
 DEFAULT_WEIGHTS = {"tropes": 0.40, "phrases": 0.20, "punctuation": 0.15, "structure": 0.10, "vocabulary": 0.10, "emoji": 0.10}
@@ -63,7 +65,7 @@ def make_pattern(raw: dict, source: str = "") -> Pattern:
         raise PatternError(f"{source}: the weight of {p.id} must be between 0 and 1")
     if p.category not in CATEGORIES:
         raise PatternError(f"{source}: {p.category} is no category")
-    if p.detection_type not in KINDS:
+    if p.detection_type not in KINDS and p.detection_type not in OWN_KINDS:
         raise PatternError(f"{source}: {p.detection_type} is no kind of detection")
     return p
 
@@ -112,6 +114,8 @@ def profile(name: str, folder: str | Path = HERE) -> dict[str, float]:
 
 def usable(p: Pattern) -> bool:
     """Whether a detector can be built; one that can't is left out of scores and weights."""
+    if p.detection_type in OWN_KINDS:
+        return True
     if p.detection_type in METRICS:
         return p.params.get("metric") in METRICS[p.detection_type]
     if p.detection_type == "frequency":

@@ -188,6 +188,18 @@ def discover_urls(sites: DataFrame, fetch: Fetch, source: str = "auto", at_once:
     return sites.select("base").filter("base is not null").distinct().repartition(n).mapInPandas(run, "base string, via string, position int, url string")
 
 
+def register_discovery(spark: SparkSession, fetch: Fetch, name: str = "discover_urls", source: str = "auto") -> None:
+    """Makes discovery a table function of SQL: ``select s.domain, d.* from sites s, lateral discover_urls(s.base) d`` gives (via, position, url)."""
+
+    class Discover:
+        def eval(self, base: str):
+            via, urls = site_urls(base, fetch, source) if base else (None, [])
+            for i, url in enumerate(urls):
+                yield via, i, url
+
+    spark.udtf.register(name, F.udtf(Discover, returnType="via string, position int, url string"))
+
+
 def story_items(spark: SparkSession, fetch: Fetch, kind: str = "top", limit: int = 200, root: str = "https://hacker-news.firebaseio.com/v0", at_once: int = AT_ONCE) -> DataFrame:
     """(position, json) of the first stories of a list, no more than MOST_STORIES; empty where the list can't be read. An item that can't be read has NULL."""
     ids = json.loads(_body(fetch, f"{root}/{STORY_LISTS.get(kind, STORY_LISTS['top'])}.json") or "[]")[: max(1, min(int(limit), MOST_STORIES))]

@@ -236,6 +236,8 @@ def test_worker_cycle(spark, tmp_path):
     fetch = lambda u: (200, u, saved[u]) if u in saved else (200, u, page(u)) if "/p/" in u or "/n/" in u or u == "https://c.x/1" else (404, u, "")
     got = {(r.base, r.via, r.url) for r in discovery.discover_urls(spark.createDataFrame([("https://a.x",), ("https://b.x",), ("https://c.x",), ("https://d.x",)], "base string"), fetch).collect()}
     assert got == {("https://a.x", "sitemap", f"https://a.x/{x}") for x in ("p/1", "p/2", "tag/3")} | {("https://b.x", "feed", "https://b.x/n/1"), ("https://c.x", "feed", "https://c.x/1"), ("https://d.x", None, None)}
+    discovery.register_discovery(spark, fetch)
+    assert {r.url for r in spark.sql("select d.url from values ('https://b.x'), ('https://d.x') as s(base), lateral discover_urls(s.base) d").collect()} == {"https://b.x/n/1"}
     items = discovery.story_items(spark, fetch, root="https://hn.x/v0")
     assert {r.domain for r in A.trending_domains(discovery.stories(items), spark.createDataFrame([(h,) for h in discovery.EXCLUDED_HOSTS], "domain string"), 5, 1).collect()} == {"c.x", "no.x"}
     refresher = Refresher(spark, str(tmp_path / "s"), load_patterns()[:3], load_weights())

@@ -189,3 +189,18 @@ def test_measures_equal_expressions(spark):
     want = D.prepare(df, "t").select("i", d.n_words.alias("n_words"), D.paragraph_uniformity(d).alias("uniformity"), D.sentence_burstiness(d).alias("burstiness"), D.avg_sentence_length(d).alias("sentence_length"), D.question_share(d).alias("question_share"), F.size(d.sentences).alias("n_sentences"), D.type_token_ratio(d).alias("type_ratio"))
     for r in want.collect():
         assert tuple(r)[1:] == tuple(got[r.i][c] for c in want.columns[1:]), texts[r.i]
+
+
+def test_kinds_of_detection_may_be_added(spark):
+    raw = {"id": "loud", "name": "Loud", "category": "punctuation", "weight": 0.5, "detection_type": "marks", "params": {"mark": "!", "threshold_low": 0, "threshold_high": 4}}
+    with pytest.raises(L.PatternError):
+        L.make_pattern(raw)
+    D.register_kind("marks", lambda p, d: T.count_substring(d.text, p.params["mark"]).cast("double"))
+    try:
+        r = D.score_documents(spark.createDataFrame([("a! b!",)], "text string"), [L.make_pattern(raw)], L.load_weights()).first()
+        assert (r.results[0].raw_value, r.results[0].norm_score) == (2.0, 0.5)
+        with pytest.raises(ValueError):
+            D.register_kind("regex", None)
+    finally:
+        L.OWN_KINDS.clear()
+        D.BUILDERS.pop("marks")
