@@ -205,6 +205,16 @@ def test_constant_slots_within_the_main_body(spark):
     assert {tuple(r) for r in main_body.furniture_lines(df, "scan", "host", "name", "body", "html").collect()} == want
 
 
+def test_wrappers_of_long_names_are_not_held_whole(spark, monkeypatch):
+    """Few groups with names of megabytes go to the pages in a join; the driver never has them together."""
+    rows = [(n, f"{n % 2}.x", t.split("\n")[4 if n % 2 else 8], t, h.replace("class='post'", f"class='post {'ab'[n % 2] * 3_000_000}'")) for n in range(4) for t, h in [_page(n % 2 == 0, n)]]
+    df = spark.createDataFrame(rows, "scan long, host string, name string, body string, html string")
+    lines = lambda df: {tuple(r) for r in main_body.furniture_lines(df, "scan", "host", "name", "body", "html").collect()}
+    want = lines(df.withColumn("html", F.regexp_replace("html", " [ab]{9,}", "")))
+    monkeypatch.setattr(main_body.F, "broadcast", lambda _: pytest.fail("wrappers are broadcast"))
+    assert lines(df) == want
+
+
 def test_page_blocks():
     blocks = main_body.page_blocks(_page(False, 1)[1])
     assert [b[2] for b in blocks][2:6] == ["h1", "div.byline", "p", "p"] and len({b[0] for b in blocks}) == 4
