@@ -146,6 +146,35 @@ def test_repeated_error_pages_in_any_wording(spark):
     assert {r.record for r in template_residue.residue(df, "id", {"text": False}).collect()} == set(range(8))
 
 
+def test_messages_do_not_depend_on_repeated_texts(spark):
+    """Deliveries of the same texts under other numbers: a message is one however many copies there are."""
+    article = lambda i: " ".join(f"The mill {'abcdefghij'[i % 10]}{k} stood by the river {'klmnopqrst'[i // 10]}{i} years, and {'uvwxyz'[k]}{i} nobody minded much that it was crooked." for k in range(4))
+    texts = [f"Home\nDe bakker is even weg\nKom over {i} minuten terug" for i in range(7)] + [f"Home\n{article(i)}" for i in range(20)]
+    for copies in (1, 3):
+        df = spark.createDataFrame([(100 * c + i, t) for c in range(copies) for i, t in enumerate(texts)], "id long, text string").repartition(3)
+        found = template_residue.residue_by_rule(df, "id", {"text": False}).filter("rule = 'message'").select("id").distinct()
+        assert {r.id for r in found.collect()} == {100 * c + i for c in range(copies) for i in range(7)}
+
+
+def test_copy_whose_lines_begin_with_other_names(spark):
+    """Lines of one template that begin differently: titles cut off from any of them count."""
+    names = "Anna Bert Carl Dora Emil Fred Gert Hans".split()
+    line = "{} bakt morgen weer brood voor alle buren en vrienden van hier."
+    rows = [(100 + i, None, line.format(n)) for i, n in enumerate(names)]
+    rows += [(10 * k + i, " ".join(line.format(n).split()[: 4 + i]), None) for k, n in enumerate(names) for i in range(3)]
+    df = spark.createDataFrame(rows, "id long, title string, text string").repartition(3)
+    found = template_residue.residue_by_rule(df, "id", {"title": True, "text": False}).filter("rule = 'cut'")
+    assert {r.id for r in found.collect()} == {r[0] for r in rows}
+
+
+def test_slots_of_long_titles(spark):
+    words = [f"w{'abcdefghijklmnopqrstuvwxyz'[i % 26]}{'abc'[i // 26]}" for i in range(60)]
+    given = [(i, f"h{i}", " ".join(words)) for i in range(4)]
+    df = spark.createDataFrame(given, "id long, host string, title string")
+    assert {r.record for r in template_residue.residue(df, "id", {"title": True}, "host").collect()} == set(range(4))
+    assert template_residue.with_gaps(words) == [template_residue.with_gap(words, i) for i in range(60)]
+
+
 # Main body
 
 
