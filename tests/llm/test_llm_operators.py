@@ -175,6 +175,42 @@ def test_slots_of_long_titles(spark):
     assert template_residue.with_gaps(words) == [template_residue.with_gap(words, i) for i in range(60)]
 
 
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rules_run_one_at_a_time(spark, monkeypatch):
+    """What the rules found is read from tables, so no plan holds all rules; keys that go to the rows as a broadcast or meet them sorted give the same."""
+    names = "Anna Bert Carl Dora Emil Fred Gert Hans".split()
+    line = "{} bakt morgen weer brood voor alle buren en vrienden van hier."
+    rows = [(100 + i, f"h{i}", None, f"{line.format(n)}\nMenu") for i, n in enumerate(names)]
+    rows += [(10 * k + i, f"h{k}", " ".join(line.format(n).split()[: 4 + i]), None) for k, n in enumerate(names) for i in range(3)]
+    rows += [(200 + i, f"h{i}", "Klik om te beginnen", f"Menu\nDe bakker is even weg\nKom over {i} minuten terug") for i in range(7)]
+    rows += [(300 + i, f"h{i}", f"Recipes sent by {n} to us", None) for i, n in enumerate(("§§cook§§", "^^town^^", "Anna", "Bert"))]
+    rows += [(400 + i, f"h{i}", None, "Our hamsters dropped the page, so it could not be found.\nGo home" if i < 3 else "Hic stat verbum. Post veniet melius. " * i) for i in range(6)]
+    rows += [(500 + i, "h", None, f"Menu\nThe mill {i} stood by the river " + "and ground bread corn " * 15) for i in range(40)]
+    df = spark.createDataFrame(rows, "id long, host string, title string, text string").repartition(3)
+    got = []
+    for held in (template_residue.HELD_KEYS, 0):
+        monkeypatch.setattr(template_residue, "HELD_KEYS", held)
+        found = template_residue.residue_by_rule(df, "id", {"title": True, "text": False}, "host")
+        assert not any(x in _plan(found) for x in ("Join", "Exchange", "Aggregate"))
+        got.append({tuple(r) for r in found.collect()})
+    assert got[0] == got[1] and {r for _, _, r in got[0]} >= {"cut", "title", "slot", "page", "unit", "message"}
+
+
+def test_copies_of_keys_are_not_broadcast(spark, monkeypatch):
+    """Keys go to the rows as they are; the copies that salts need are sorted, however small the table is that they are made from."""
+    rows, keys = spark.range(1000).withColumn("key", F.col("id") % 7), spark.createDataFrame([(k, k) for k in range(5)], "key long, value long")
+    want = {(i, i % 7) for i in range(1000) if i % 7 < 5}
+    for held, there, not_there in ((5, "BroadcastHashJoin", "explode"), (4, "SortMergeJoin", "Broadcast")):
+        monkeypatch.setattr(template_residue, "HELD_KEYS", held)
+        met = template_residue._met(rows, keys, ["key"])
+        assert there in _plan(met) and not_there not in _plan(met) and {(r.id, r.value) for r in met.collect()} == want
+        assert template_residue._met(rows, keys, ["key"], "left_anti").count() == 1000 - len(want)
+        assert template_residue._met(rows, keys, ["key"], "left_semi").count() == len(want)
+
+
 # Main body
 
 
